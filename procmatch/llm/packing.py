@@ -12,6 +12,7 @@ null id stays null; a text of any length is tokenized whole; an empty table give
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,42 +29,89 @@ CAPACITY = 1024
 #: Pieces that one group packs at once.
 GROUP = 50_000
 #: Chunks that a worker remembers the ids of; beyond that it starts anew, which costs time but changes nothing.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: New chunks that are tokenized at once.
+TOGETHER = 20_000
 
-_encoders: dict[str, tuple] = {}
 
+class Encoder:
+    """Ids of texts by a tokenizers file with a byte-level pre-tokenizer, as little-endian unsigned 32-bit bytes.
 
-def _encoder(path: str):
-    """For a file of the tokenizers library: a function from text to the ids as little-endian unsigned 32-bit bytes.
-
-    A byte-level pre-tokenizer lets no token span a single space between two other characters and keeps that space with
-    what follows it, so a text's ids are those of its space-led chunks in turn, and most chunks have been seen before.
+    No token of such a tokenizer spans a single space between two characters that are no white space, and that space belongs to what follows it. So a text's
+    ids are those of its chunks, cut before such spaces, and most chunks have been seen before. New ones are tokenized
+    together, a line break between two, and cut apart by the tokens' bytes; those that begin or end with more white space, or can't be cut
+    apart, are tokenized by themselves.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path), {}
-    tokenizer, seen = _encoders[path]
-
-    def encode(text: str) -> bytes:
-        parts = text.split(" ")
-        chunks = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and chunks[-1] and not chunks[-1][-1].isspace():
-                chunks.append(" " + p)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.seen: dict[str, bytes] = {}
+
+    def alone(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The text's chunks; those but the first without the space that they begin with. The first has a line break before it, as no other chunk has."""
+        first, *parts = text.split(" ")
+        if not _ADJACENT.search(text):
+            return ["\n" + first, *parts]
+        out = ["\n" + first]
+        for p in parts:
+            if p and not p[0].isspace() and not out[-1][-1].isspace():
+                out.append(p)
             else:
-                chunks[-1] += " " + p
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        if new := [c for c in {*chunks} if c not in seen]:
-            for c, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                seen[c] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, chunks))
-
-    return encode
+                out[-1] += " " + p
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        plain = []
+        for c in new:
+            text = c[1:] if c[0] == "\n" else " " + c
+            if not text or text[-1].isspace() or text[0].isspace() and (len(text) == 1 or text[0] != " " or text[1].isspace()):
+                self.seen[c] = self.alone(text) if text else b""
+            else:
+                plain.append((c, text))
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.asarray(self.tokenizer.encode("\n".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
+            ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            stops = np.cumsum([len(t.encode()) + 1 for _, t in part]) - 1
+            starts = np.concatenate([[0], stops[:-1] + 1])
+            i, j = np.searchsorted(ends, starts), np.searchsorted(ends, stops)
+            raw = ids.tobytes()
+            fits = (ends[np.minimum(i, len(ids))] == starts) & (ends[np.minimum(j, len(ids))] == stops)
+            for (c, text), a, b, ok in zip(part, i.tolist(), j.tolist(), fits.tolist(), strict=True):
+                self.seen[c] = raw[4 * a : 4 * b] if ok else self.alone(text)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.chunks(t) if t else [] for t in texts]
+        wanted = set().union(*cut)
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        if new := [c for c in wanted if c not in self.seen]:
+            self.learn(new)
+        get = self.seen.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+_ADJACENT = re.compile(r"\s\s|^\s|\s$")
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -77,10 +125,10 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, at = _encoder(path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end if text else end
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, (s, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     own = ids[4 * s : 4 * (s + n)]
                     out.append((at, key, k, s, n, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("i4")] if with_ids else [])))
