@@ -20,21 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import id_remainder, labelled_sample
+from procmatch.llm.common import id_remainder, labelled_sample, stored
 
 MAX_LABELLED, MAX_TERMS, THRESHOLD = 20_000, 3000, 0.7
 #: Words on each side of a find that are its context, and what quotation or report there leaves of its weight.
 CONTEXT, QUOTED, REPORTED, PER_EDIT = 4, 0.5, 0.7, 0.5
+#: The weight from which on a term is also looked for with edits; weaker ones are as good as their exact form.
+FUZZY = 2.0
 
 # Common English insults, known before any label is seen, and words and marks of reported speech.
 SEEDS = ["clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 REPORTING = ["called", "calls", "cited", "citation", "dit", "dijo", "quote", "quoted", "quotes", "reported", "said", "says", "sagte", "term", "word", "wrote"]
 QUOTES = "\"'`«»„“”‘’‹›"
 
-_WORD = re.compile(r"[^\W_]+")
+_SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_MARKS = "«»„“”‘’‹›…–—"
 _PIECE = re.compile(rf"[^\W_]+|[{QUOTES}]")
 
 
+def words(text: str) -> list[bytes]:
+    """Lower-case words in UTF-8, cut at all ASCII characters but letters and digits, and at quotation marks and dashes."""
+    low = text.lower()
+    if not low.isascii():
+        for mark in _MARKS:
+            low = low.replace(mark, " ")
+    return low.encode().translate(_SEPARATORS).split()
+
+
 def edits_allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
@@ -84,26 +96,26 @@ class Trie:
                 v = self.children[v][c]
             self.ends[v] = t
         self.automata = {k: Automaton(k) for k in (1, 2)}
-        # Of a term cut in k + 1 parts, a word within k edits has one whole, moved by k places at most: (part, place, length of the term).
-        self.parts: dict[int, dict[str, set[tuple[int, int]]]] = {}
+        # Of a term cut in k + 1 parts, a word within k edits has one whole: the first where it was, the last as far from the end, one between
+        # them at most an edit away from its place. places: for a length of words, where to look for which parts.
+        self.places: dict[int, dict[tuple[int, int], set[str]]] = {}
         for t in self.terms:
-            if k := edits_allowed(t):
-                cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    self.parts.setdefault(b - a, {}).setdefault(t[a:b], set()).add((a, len(t)))
-
-    def near(self, word: str, k: int) -> bool:
-        """No word within k edits of a term fails this."""
-        for n, parts in self.parts.items():
-            for i in range(len(word) - n + 1):
-                if (at := parts.get(word[i : i + n])) and any(abs(a - i) <= k and abs(m - len(word)) <= k and abs(m - len(word) - (a - i)) <= k for a, m in at):
-                    return True
-        return False
+            k = edits_allowed(t)
+            cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
+            for n in range(len(t) - k, len(t) + k + 1) if k else ():
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    for at in [0] if j == 0 else [n - (b - a)] if j == k else range(max(0, a - 1), a + 2):
+                        self.places.setdefault(n, {}).setdefault((at, at + b - a), set()).add(t[a:b])
+        self.looked = {n: list(x.items()) for n, x in self.places.items()}
+
+    def near(self, word: str) -> bool:
+        """No word within the edits allowed of a term fails this."""
+        return any(word[i:j] in parts for (i, j), parts in self.looked.get(len(word), ()))
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The term with the fewest edits to the word, of those the first, if the edits are allowed for the shorter of both."""
         k = edits_allowed(word)
-        if not k or not self.near(word, k):
+        if not k or not self.near(word):
             return None
         automaton, full = self.automata[k], (1 << (2 * k + 1)) - 1
         places: dict[str, int] = {}
@@ -123,31 +135,43 @@ class Trie:
         return (best[1], best[0]) if best else None
 
 
+class _Known(dict):
+    """What each word (UTF-8) stands for: (term, edits), or None."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: bytes) -> tuple[str, int] | None:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = self.model.look_up(word.decode())
+        return found
+
+
 class Model:
     def __init__(self, weights: dict[str, float], innocent: set[str], curve: tuple[float, float]) -> None:
         self.weights, self.innocent, self.curve = weights, innocent, curve
-        self.trie = Trie(list(weights))
-        self.cache: dict[str, tuple[str, int] | None] = {}
+        self.trie = Trie([w for w, v in weights.items() if v >= FUZZY])
+        self.known = _Known(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = _Known(self)
 
     def look_up(self, word: str) -> tuple[str, int] | None:
         if word in self.weights:
             return word, 0
-        if word not in self.cache:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[word] = None if word in self.innocent or len(word) < 4 else self.trie.find(word)
-        return self.cache[word]
+        return None if word in self.innocent or len(word) < 4 else self.trie.find(word)
 
     def finds(self, text: str | None) -> list[tuple[str, int, float]]:
         """(term, edits, share of its weight that its context leaves) of each find."""
-        low = (text or "").lower()
-        names = {w: f for w in set(_WORD.findall(low)) if (f := self.look_up(w))}
+        names = {w.decode(): f for w in set(words(text or "")) if (f := self.known[w])}
         if not names:
             return []
-        pieces, out = _PIECE.findall(low), []
+        pieces, out = _PIECE.findall(text.lower()), []
         for i, p in enumerate(pieces):
             if f := names.get(p):
                 before, after = pieces[max(0, i - CONTEXT) : i], pieces[i + 1 : i + 1 + CONTEXT]
@@ -197,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
         for batch in batches:
             rows: dict[tuple[str, int, str], None] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                ws = _WORD.findall(text.lower())
+                ws = [w.decode() for w in words(text)]
                 for a, w, b in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
                     rows[w, y, f"{a} {b}"] = None
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], (pa.string(), pa.int32(), pa.string()), strict=True)], names=["word", "label", "around"])
@@ -205,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
     # Copies repeat a word in the same surroundings, so different ones are counted, not documents.
     around = texts.mapInArrow(run, "word string, label int, around string")
     seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.03).alias(f"n{y}") for y in (0, 1)])
+    seen = stored(seen.where("n0 + n1 > 1"), "toxic-words")  # a word of one place says nothing
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weights = {w: 2.0 for w in SEEDS}
