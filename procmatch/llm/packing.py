@@ -2,7 +2,7 @@
 
 ``tokenize`` cuts documents into pieces of at most ``capacity`` tokens. ``pack`` deals the pieces to groups of
 bounded size; each group runs best-fit decreasing and compares its number of bins with lower bounds from
-dual-feasible functions. Bins with room, and those of groups above their bound, are exchanged whole between groups
+dual-feasible functions. Bins with much room, and all of groups above their bound, are exchanged whole between groups
 and packed again, fewer groups each time; a group keeps its former bins unless the new ones are fewer.
 
 Defined cases: null and empty texts are one piece holding the end token; repeated rows are packed each by itself; a
@@ -217,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         if parts == 1 or r == rounds - 1:
             done.append(packed.select(names))
             break
-        again = (F.col("room") > 0) & (~F.col("settled") | (F.col("room") >= capacity // 16))
+        again = ~F.col("settled") | (F.col("room") >= capacity // 16)
         done.append(packed.where(~again).select(names))
         todo = packed.where(again)
     else:
