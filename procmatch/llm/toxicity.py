@@ -1,7 +1,7 @@
 """Toxicity by fuzzy look-up of a learnt lexicon, weighed by the words around each find.
 
 The lexicon comes from labelled documents, ``MAX_LABELLED`` at most, chosen by hash: words that toxic documents hold in several different
-surroundings and others hardly ever. Levenshtein automata of a document's words run down a trie of the terms, so misspelled terms are
+surroundings and others hardly ever, and beginnings that several such words share. Levenshtein automata of a document's words run down a trie of the terms, so misspelled terms are
 found with the edits that they need (none for words under five letters, one below nine, else two). A find counts less the more edits it has, and less inside quotation marks
 or near words of reporting; a logistic curve over the sum of different terms' weights, fitted to the labelled documents, gives the score.
 
@@ -28,6 +28,9 @@ CONTEXT, QUOTED, REPORTED, PER_EDIT = 4, 0.5, 0.7, 0.5
 #: The weight from which on a term is also looked for with edits; weaker ones are as good as their exact form.
 FUZZY = 2.0
 
+#: Letters of the stems that stand for all words which begin with them.
+STEMS = (6, 5, 4)
+
 # Common English insults, known before any label is seen, and words and marks of reported speech.
 SEEDS = ["clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 REPORTING = ["called", "calls", "cited", "citation", "dit", "dijo", "quote", "quoted", "quotes", "reported", "said", "says", "sagte", "term", "word", "wrote"]
@@ -151,7 +154,7 @@ class _Known(dict):
 class Model:
     def __init__(self, weights: dict[str, float], innocent: set[str], curve: tuple[float, float]) -> None:
         self.weights, self.innocent, self.curve = weights, innocent, curve
-        self.trie = Trie([w for w, v in weights.items() if v >= FUZZY])
+        self.trie = Trie([w for w, v in weights.items() if v >= FUZZY and w[-1] != "*"])
         self.known = _Known(self)
 
     def __getstate__(self) -> dict:
@@ -164,7 +167,12 @@ class Model:
     def look_up(self, word: str) -> tuple[str, int] | None:
         if word in self.weights:
             return word, 0
-        return None if word in self.innocent or len(word) < 4 else self.trie.find(word)
+        if word in self.innocent or len(word) < 4:
+            return None
+        for n in STEMS:
+            if len(word) > n and (stem := word[:n] + "*") in self.weights:
+                return stem, 0
+        return self.trie.find(word)
 
     def finds(self, text: str | None) -> list[tuple[str, int, float]]:
         """(term, edits, share of its weight that its context leaves) of each find."""
@@ -229,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
     # Copies repeat a word in the same surroundings, so different ones are counted, not documents.
     around = texts.mapInArrow(run, "word string, label int, around string")
     seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.03).alias(f"n{y}") for y in (0, 1)])
-    seen = stored(seen.where("n0 + n1 > 1"), "toxic-words")  # a word of one place says nothing
+    seen = stored(seen, "toxic-words")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weights = {w: 2.0 for w in SEEDS}
@@ -239,6 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
         terms = seen.where((F.col("n1") >= least) & (F.length("word") >= 3)).withColumn("odds", odds - 1 / F.sqrt("n1"))
         weights |= {r["word"]: min(4.0, r["odds"] / 2) for r in terms.where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "word").limit(MAX_TERMS).collect()}
+        # Word formation: beginnings that many different words of toxic documents have, and hardly any others.
+        cut = F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])
+        stems = seen.select(F.explode(F.array_compact(cut)).alias("stem"), "n0", "n1").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n1") > F.col("n0")).alias("forms"))
+        stems = stems.where("n1 >= 4 and forms >= 3").withColumn("odds", odds - 1 / F.sqrt("n1"))
+        weights |= {r["stem"] + "*": min(4.0, r["odds"] / 2) for r in stems.where("odds > 3").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "stem").limit(MAX_TERMS).collect()}
         # Known misspellings' opposite: words near a term that documents without toxicity hold.
         draft = docs.sparkSession.sparkContext.broadcast(Model(weights, set(), PRIOR))
 
