@@ -38,14 +38,21 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(proper, "whole", "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
-def render(turns: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """``(conv_id, chat)``, each turn as start mark, role, line break, text, end mark."""
+def render(turns: DataFrame, start: str = START, end: str = END, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(conv_id, keys, chat)``, each turn as start mark, role, line break, text, end mark; ``keys``: columns that have one value in a conversation."""
     turn = lambda x: F.concat(F.lit(start), x["at"]["role"], F.lit("\n"), x["text"], F.lit(end))
-    return _turns(turns).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), turn), "\n").alias("chat"))
+    item = F.struct("at", "text")
+    rows = turns if "at" in turns.columns else _turns(turns)
+    got = rows.groupBy("conv_id").agg(F.collect_list(item).alias("turns"), *[F.first(k).alias(k) for k in keys])
+    return got.select("conv_id", *keys, F.array_join(F.transform(F.array_sort("turns"), turn), "\n").alias("chat"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Rendered maximal conversations: ``conv_id, n_turns, n_copies, chat``."""
-    kept = maximal(turns).withColumnRenamed("conv_id", "kept_id")
-    same = F.col("conv_id").eqNullSafe(F.col("kept_id"))
-    return render(turns.select("conv_id", "turn", "role", "text").join(kept.select("kept_id"), same, "left_semi")).join(kept, same).drop("kept_id")
+    """Rendered maximal conversations: ``conv_id, n_turns, n_copies, chat``.
+
+    Texts are shuffled once: what joins them to the kept ids also groups them. Turns without an id are a conversation of their own and join by that.
+    """
+    kept, rows = maximal(turns), _turns(turns)
+    named = rows.where("conv_id is not null").join(kept.where("conv_id is not null"), "conv_id")
+    rest = rows.where("conv_id is null").join(kept.where("conv_id is null").select("n_turns", "n_copies"))
+    return render(named, keys=("n_turns", "n_copies")).unionByName(render(rest, keys=("n_turns", "n_copies")))
