@@ -89,7 +89,7 @@ def representatives(vectors: DataFrame, dimension: int, id_col: str = "vec_id",
 def usable(vectors: DataFrame, dimension: int, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    clean = F.transform(v, lambda x: x.cast("double") + 0.0)  # -0.0 is 0.0
+    clean = F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # -0.0 is 0.0
     return vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), clean.alias("embedding"))
 
 
@@ -102,17 +102,16 @@ def filtered(reps: DataFrame, code: ProductCode, dimension: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 v = _array(batch.column("embedding"), dimension)
-                unit = v / np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(1, keepdims=True)
-                lists = shared.value.decode(unit)
+                v /= np.abs(v).max(1, keepdims=True)
+                lists = shared.value.decode(v / np.linalg.norm(v, axis=1, keepdims=True))
                 take = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 if len(take):
                     rows = batch.take(pa.array(take))
                     filters = pa.array([x.tolist() for x in lists], pa.list_(pa.int32())).take(pa.array(take))
-                    units = pa.FixedSizeListArray.from_arrays(pa.array(unit[take].ravel()), dimension).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(np.concatenate(lists).astype(np.int32)), rows.column("rep"), rows.column("copies"), units, filters], names=["label", "filter", "rep", "copies", "embedding", "filters"])
+                    yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(np.concatenate(lists).astype(np.int32)), rows.column("rep"), rows.column("copies"), rows.column("embedding"), filters], names=["label", "filter", "rep", "copies", "embedding", "filters"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    return reps.mapInArrow(run, f"label {kind}, filter int, rep long, copies long, embedding array<double>, filters array<int>")
+    return reps.mapInArrow(run, f"label {kind}, filter int, rep long, copies long, embedding {reps.schema['embedding'].dataType.simpleString()}, filters array<int>")
 
 
 def _earlier(left: list[np.ndarray], right: list[np.ndarray], f: int) -> np.ndarray:
@@ -172,9 +171,10 @@ def links(reps: DataFrame, dimension: int, cosine: float = COSINE, part: int = P
     """
     n = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     rows = stored(filtered(reps, ProductCode(dimension, *codes_for(n, dimension, cosine)), dimension), "caps")
-    sizes = stored(rows.groupBy("label", "filter").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / part).cast("int")), "cap-sizes")
-    groups = max(1, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / batch))
-    dealt = rows.join(sizes.select("label", "filter", "parts"), ["label", "filter"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # Most buckets are small and need no count at their rows; those to be cut are few, and their table joins as its size allows.
+    large = stored(rows.groupBy("label", "filter").agg(F.count("*").alias("size")).where(F.col("size") > part).select("label", "filter", F.ceil(F.col("size") / part).cast("int").alias("parts")), "cap-sizes")
+    groups = max(1, math.ceil(rows.count() / batch))
+    dealt = rows.join(large, ["label", "filter"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other"), "bucket": F.xxhash64("label", "filter")})
     dealt = dealt.withColumn("group", F.when(F.col("parts") == 1, F.pmod("bucket", F.lit(groups))).otherwise(F.xxhash64("bucket", "p", "q"))).select("group", "bucket", "filter", "p", "q", "own", "rep", "copies", "embedding", "filters")
@@ -183,7 +183,9 @@ def links(reps: DataFrame, dimension: int, cosine: float = COSINE, part: int = P
         pdf = pdf.sort_values(["bucket", "p", "q", "rep"], ignore_index=True)
         keys = pdf[["bucket", "p", "q"]].to_numpy()
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(pdf)]
-        units, filters = np.stack(pdf["embedding"].to_list()), pdf["filters"].to_numpy()
+        units, filters = np.stack(pdf["embedding"].to_list()).astype(float), pdf["filters"].to_numpy()
+        units /= np.abs(units).max(1, keepdims=True)
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
         ids, copies, own, fs = (pdf[c].to_numpy() for c in ("rep", "copies", "own", "filter"))
         got = [_compare(ids[a:b], copies[a:b], units[a:b], filters[a:b], own[a:b], int(fs[a]), int(keys[a, 1]), int(keys[a, 2]), cosine) for a, b in zip(cuts, cuts[1:], strict=False)]
         out = pd.DataFrame({"rep": ids, "n": np.concatenate([g[0] for g in got]), "near": np.concatenate([g[1] for g in got])})
