@@ -39,7 +39,7 @@ def test_pair_scorer(spark):
     assert [r["cross_encoder_raw"] for r in fusion.pair_scores(p).collect()] == [4.0, -4.0, -4.0]
 
 
-def test_metrics(spark):
+def test_metrics(spark, tmp_path):
     ranked = spark.createDataFrame([("s", "q", d, i + 1) for i, d in enumerate(["IS-1180-P1", "IS-2026-P1", "IS-9"])] + [("r", "q", d, i + 1) for i, d in enumerate(["IS-2026-P1", "IS-1180-P1"])] + [("late", "q", d, i + 1) for i, d in enumerate(["x", "IS-1180-P1"])], "system string, query_id string, doc_id string, rank int")
     gold = spark.createDataFrame([("q", {"IS-1180-P1": 2, "IS-2026-P1": 1}), ("none", {})], "id string, relevance map<string,int>")
     queries = spark.createDataFrame([("q", "en"), ("none", "hi")], "query_id string, language string")
@@ -48,6 +48,8 @@ def test_metrics(spark):
     s = got["s", "q"]
     assert round(s["p_at_3"], 4) == 0.6667 and s["r_at_1"] == 0.5 and s["ndcg_at_3"] == 1.0 and s["mrr"] == 1.0
     assert round(got["r", "q"]["ndcg_at_3"], 4) == 0.7967 and got["late", "q"]["mrr"] == 0.5 and got["s", "none"]["ndcg_at_5"] == 0.0
+    sinks.write_evaluation(evaluate.by_system(m), evaluate.by_group(m), m, f"file://{tmp_path}/eval")
+    assert spark.read.json(f"file://{tmp_path}/eval/queries").count() == 6
     by = {(r["system"], r["language"]): r for r in evaluate.by_group(m).collect()}
     assert by["s", "ALL"]["mrr"] == 0.5 and by["s", "en"]["mrr"] == 1.0
     d = {r["metric"]: r["change"] for r in evaluate.delta(evaluate.by_system(m), "late", "s").collect()}
