@@ -112,7 +112,7 @@ def test_collisions_are_resolved(spark):
     docs = [f"{n} and {n}" for n in names]
     got = keep(spark, docs, count_col="n")
     pairs = [re.fullmatch(r"(\S+) and (\S+)", g).groups() for g in got]
-    assert all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & {a.lower() for a in names if a in dict(pairs)}
+    assert all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == len(names)
     assert pii.collisions(spark.createDataFrame([(d,) for d in docs], "text string"), "k").count() > 0
 
 
@@ -127,9 +127,9 @@ def test_surrogates_over_the_table(spark):
     got = {r["doc_id"]: (r["text"], r["n_found"]) for r in queries.op3_pii_surrogates(spark, DATA).collect()}
     assert got.keys() == docs.keys()
     for k, t in docs.items():
-        found = re.findall(pii._ANY.replace(r"\p{Lu}", "[A-Z]").replace(r"\p{L}", "A-Za-z").replace("]{1,30}+", "]{1,30}"), t) if False else None
-        assert (got[k][1] == 0) == (got[k][0] == t), found
-        assert not set(re.findall(r"[\w.]+@[\w.]+\w|\b4\d{15}\b|AKIA\w{16}|\+1 \(\d{3}\) \d{3}-\d{4}", t)) & set(re.findall(r"[\w.]+@[\w.]+\w|\b4\d{15}\b|AKIA\w{16}|\+1 \(\d{3}\) \d{3}-\d{4}", got[k][0]))
+        assert (got[k][1] == 0) == (got[k][0] == t)
+        known = r"[\w.]+@[\w.]+\w|\b4\d{15}\b|AKIA\w{16}|\+1 \(\d{3}\) \d{3}-\d{4}"
+        assert not set(re.findall(known, t)) & set(re.findall(known, got[k][0]))
 
 
 # --- near-duplicates ---
@@ -154,7 +154,7 @@ def test_near_duplicates_against_brute_force(spark):
         for share in (0.0, 0.02, 0.05, 0.1):
             docs.append([w if rng.random() >= share else "new" + str(rng.integers(99)) for w in base])
     docs += [[], [], ["one"], ["One"]]
-    rows = [(i, ("Mr " if i % 7 == 0 and False else "") + " ".join(d)) for i, d in enumerate(docs)] + [(len(docs), None), (len(docs) + 1, None), (None, "a b c")]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(len(docs), None), (len(docs) + 1, None), (None, "a b c")]
     got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     parent = list(range(len(docs)))
 
