@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
 
     # Copies repeat a word in the same surroundings, so different ones are counted, not documents.
     around = texts.mapInArrow(run, "word string, label int, around string")
-    seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.03).alias(f"n{y}") for y in (0, 1)])
+    seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.1).alias(f"n{y}") for y in (0, 1)])
     seen = stored(seen, "toxic-words")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
