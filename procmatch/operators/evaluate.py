@@ -29,7 +29,7 @@ def per_query(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, mrr_at: i
     hits = ranked.join(good, ["query_id", "doc_id"])
     first = F.max(1 / F.col("rank")) if mrr_at is None else F.max(F.when(F.col("rank") <= mrr_at, 1 / F.col("rank")))
     got = hits.groupBy("system", "query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"h_{k}") for k in PLACES], first.alias("first"), *[F.sum(F.when(F.col("rank") <= k, gain(F.col("rel"), F.col("rank")))).alias(f"g_{k}") for k in NDCG_AT])
-    all_ = queries.join(F.broadcast(ranked.select("system").distinct())).join(got, ["system", "query_id"], "left").join(ideal, "query_id", "left")
+    all_ = queries.crossJoin(ranked.select("system").distinct()).join(got, ["system", "query_id"], "left").join(ideal, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return all_.select(
         "system", *queries.columns, *[zero(F.col(f"h_{k}") / k).alias(f"p_at_{k}") for k in PLACES], *[zero(F.col(f"h_{k}") / F.col("n_rel")).alias(f"r_at_{k}") for k in PLACES],

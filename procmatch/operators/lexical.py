@@ -71,7 +71,7 @@ def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", toke
 
 def dense_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """A score for every pair, 0 where there is none: only for few queries, on request."""
-    pairs = docs.select(F.col(doc).alias("doc_id")).crossJoin(F.broadcast(queries.select(F.col(query).alias("query_id"))))
+    pairs = docs.select(F.col(doc).alias("doc_id")).crossJoin(queries.select(F.col(query).alias("query_id")))
     return pairs.join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
 
 
