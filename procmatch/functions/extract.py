@@ -49,26 +49,32 @@ INGRESS = r"(?i)\b(IP\s*\d{2})\b"
 ATTRIBUTE = "array<struct<attribute: string, value: string, unit: string, source_text: string>>"
 
 
-def first_of_each(items: Column, key) -> Column:
-    """Items of an array without those whose key an earlier one has."""
-    return F.aggregate(items, F.slice(items, 1, 0), lambda got, x: F.when(F.exists(got, lambda y: key(y) == key(x)), got).otherwise(F.concat(got, F.array(x))))
+def first_of_each(items: Column, kind: str, key) -> Column:
+    """Items of an array of a type without those whose key an earlier one has."""
+    return F.aggregate(items, F.array().cast(kind), lambda got, x: F.when(F.exists(got, lambda y: key(y) == key(x)), got).otherwise(F.array_append(got, x)))
 
 
 def is_mentions(text: Column) -> Column:
     """Designations mentioned, in order, each once whatever its case."""
     found = F.transform(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), lambda m: F.regexp_replace(F.trim(m), r"\s+", " "))
-    return first_of_each(found, F.upper)
+    return first_of_each(found, "array<string>", F.upper)
 
 
 def _measured(text: Column, m: Measure) -> Column:
-    got = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(m.pattern), F.lit(g)).alias(n) for g, n in ((0, "s"), (1, "v"), (2, "u"))])
-    return F.transform(got, lambda x: F.struct(F.lit(m.attribute).alias("attribute"), x["v"].alias("value"), (x["u"] if m.unit is None else F.lit(m.unit)).alias("unit"), F.trim(x["s"]).alias("source_text")))
+    """Finds of a pattern; the text is searched once, value and unit are cut from what was found."""
+    number = r"^\d+(?:\.\d+)?"
+
+    def one(found: Column) -> Column:
+        unit = F.regexp_replace(found, number + r"\s*", "") if m.unit is None else F.lit(m.unit)
+        return F.struct(F.lit(m.attribute).alias("attribute"), F.regexp_extract(found, number, 0).alias("value"), unit.alias("unit"), F.trim(found).alias("source_text"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(m.pattern), F.lit(0)), one)
 
 
 def technical_attributes(text: Column) -> Column:
     """Values with units, by pattern and then by place; a piece of text counts once, for the first pattern."""
     ingress = F.transform(F.regexp_extract_all(text, F.lit(INGRESS), F.lit(1)), lambda m: F.struct(F.lit("ingress_protection").alias("attribute"), F.upper(F.replace(m, F.lit(" "), F.lit(""))).alias("value"), F.lit(None).cast("string").alias("unit"), F.trim(m).alias("source_text")))
-    return first_of_each(F.concat(ingress.cast(ATTRIBUTE), *[_measured(text, m).cast(ATTRIBUTE) for m in MEASURES]), lambda x: x["source_text"])
+    return first_of_each(F.concat(ingress.cast(ATTRIBUTE), *[_measured(text, m).cast(ATTRIBUTE) for m in MEASURES]), ATTRIBUTE, lambda x: x["source_text"])
 
 
 def clauses(text: Column, terms: list[str], most: int = 5, shorter_than: int = 300) -> Column:

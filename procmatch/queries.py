@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores, where a small file has fewer; larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def joined(c, sep: str = "; "):
     return F.array_join(c, sep)
 
@@ -75,7 +85,7 @@ def with_views(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame
 
 
 def specs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(SPEC_SQL.replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"), lineitem=table(spark, sf, "lineitem"), part=table(spark, sf, "part"))
+    return spark.sql(SPEC_SQL.replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"), lineitem=spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")), part=table(spark, sf, "part"))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,12 +106,12 @@ CATALOG_DUCK = CATALOG_SQL.replace("{list}", "list_value")
 @query(f"SELECT doc_id, md5({norm_sql('text')}) AS normalized_md5, CAST(length({norm_sql('text')}) AS BIGINT) AS n FROM documents")
 def normalize_text(spark, sf):
     n = text.normalize_text(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(n.cast("binary")).alias("normalized_md5"), F.length(n).cast("long").alias("n"))
+    return documents(spark, sf).select("doc_id", F.md5(n.cast("binary")).alias("normalized_md5"), F.length(n).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def token_counts(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    t = documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(joined("t", " ").cast("binary")).alias("tokens_md5"))
 
 
@@ -118,7 +128,7 @@ CLEAN_SQL = r"regexp_replace(array_to_string([trim(x, ' ') FOR x IN string_split
 
 @query(f"SELECT doc_id, md5({CLEAN_SQL}) AS clean_md5 FROM documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.clean_extracted(F.col("text")).cast("binary")).alias("clean_md5"))
+    return documents(spark, sf).select("doc_id", F.md5(text.clean_extracted(F.col("text")).cast("binary")).alias("clean_md5"))
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, {CLEAN_SQL} AS t FROM conversations)
@@ -208,7 +218,7 @@ KEYWORDS_SQL = """SELECT {id}, list(word ORDER BY rank) AS keywords FROM (
 
 @query("SELECT doc_id, array_to_string(keywords, ' ') AS keywords FROM (" + KEYWORDS_SQL.format(id="doc_id", norm=norm_sql("text"), source="documents", stop=STOP_SQL) + ")")
 def keywords_top10(spark, sf):
-    return text.keywords_of(table(spark, sf, "documents")).select("doc_id", joined("keywords", " ").alias("keywords"))
+    return text.keywords_of(documents(spark, sf)).select("doc_id", joined("keywords", " ").alias("keywords"))
 
 
 #: Specification texts of suppliers' parts, with requirements; for requests in document form.
@@ -255,7 +265,7 @@ scores AS (SELECT query_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.
 
 
 def doc_index(spark, sf, idf="plus_one"):
-    return lexical.build_index(table(spark, sf, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens")), idf=idf)
+    return lexical.build_index(documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("tokens")), idf=idf)
 
 
 def benchmark_queries(spark, sf):
