@@ -53,7 +53,12 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0]{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
-_ANY = "|".join(PATTERNS[k] for k in KINDS)
+# No find begins inside a word, so within words one look back is all that is done.
+_ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
+#: Every find holds one of these characters or words; most texts that hold none are not searched.
+_SIGNS, _WORDS = "[0-9@=:_]", ["AKIA", "sk-", "Mr", "Ms", "Miss", "Mister", "Mme", "Mada", "Mlle", "Monsi", "Herr", "Frau", "Sr", "Seño", "оспо"]
+#: Stands around finds; texts that hold it themselves are cut another way.
+_MARK = "\u0001"
 
 
 def _let(value: Column, body) -> Column:
@@ -220,9 +225,30 @@ def surrogate(e: Column, key: str, salt: Column) -> Column:
     )
 
 
+def _worth_searching(text: Column) -> Column:
+    out = text.rlike(_SIGNS)
+    for w in _WORDS:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def parts(text: Column) -> Column:
+    """A text in turn as what stands between finds and finds: an array of odd length, of which every second item is a find."""
+    marked = F.split(F.regexp_replace(text, f"({_ANY})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    apart = F.struct(F.split(text, _ANY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)).alias("found"))
+    paired = _let(apart, lambda s: F.concat(F.flatten(F.transform(s["found"], lambda e, i: F.array(s["gaps"][i], e))), F.slice(s["gaps"], -1, 1)))
+    return F.when(~_worth_searching(text), F.array(text)).when(F.contains(text, F.lit(_MARK)), paired).otherwise(marked)
+
+
+def finds(text: Column) -> Column:
+    """All finds of a text, in order."""
+    return F.filter(parts(text), lambda p, i: i % 2 == 1)
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """A row for each find ``(entity)``."""
-    return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_ANY), F.lit(0))).alias("entity"))
+    text = F.col(text_col)
+    return docs.where(_worth_searching(text)).select(F.explode(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias("entity"))
 
 
 def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -251,22 +277,22 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """``docs`` with surrogates in the text; ``count_col``: also the number of finds."""
     salted = collisions(docs, key, text_col)
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
     if not salted.take(1):
         salts, base = None, docs
     else:
         # Texts that hold an exception get its salt by the text's own hash.
         name = F.sha2(text.cast("binary"), 256)
-        per_text = docs.select(name.alias("_text"), F.explode(F.array_distinct(found)).alias("entity")).distinct().join(salted, "entity").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "salt"))).alias("_salts"))
+        per_text = docs.select(name.alias("_text"), F.explode(F.array_distinct(finds(text))).alias("entity")).distinct().join(salted, "entity").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "salt"))).alias("_salts"))
         base = docs.withColumn("_of", name).join(per_text, F.col("_of") == F.col("_text"), "left")
         salts = F.col("_salts")
 
     def rebuilt(s: Column) -> Column:
-        new = lambda e, i: F.concat(surrogate(e, key, F.lit(0) if salts is None else F.coalesce(s["salts"][e], F.lit(0))), s["gaps"][i + 1])
-        return F.concat(s["gaps"][0], F.array_join(F.transform(s["found"], new), ""))
+        salt = lambda e: F.lit(0) if salts is None else F.coalesce(s["salts"][e], F.lit(0))
+        return F.array_join(F.transform(s["parts"], lambda p, i: F.when(i % 2 == 1, surrogate(p, key, salt(p))).otherwise(p)), "")
 
-    fields = [F.split(text, _ANY, -1).alias("gaps"), found.alias("found"), *([] if salts is None else [salts.alias("salts")])]
-    done = F.transform(F.array(F.struct(*fields)), lambda s: F.struct(F.when(F.size(s["found"]) > 0, rebuilt(s)).otherwise(s["gaps"][0]).alias("text"), F.size(s["found"]).alias("n")))[0]
+    fields = [parts(text).alias("parts"), *([] if salts is None else [salts.alias("salts")])]
+    n = lambda s: F.floor(F.size(s["parts"]) / 2).cast("int")
+    done = _let(F.struct(*fields), lambda s: F.struct(F.when(n(s) > 0, rebuilt(s)).otherwise(s["parts"][0]).alias("text"), n(s).alias("n")))
     out = base.withColumn("_done", F.when(text.isNotNull(), done))
     columns = [F.col("_done")["text"].alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, *([F.coalesce(F.col("_done")["n"], F.lit(0)).alias(count_col)] if count_col else []))
