@@ -35,6 +35,18 @@ class Catalog:
         edges = declared.unionByName(network.inferred_edges(nodes, declared))
         return Catalog(records, lexical.build_index(tokens), vectors, rules, nodes, edges, network.unresolved(resolved))
 
+    def save(self, path: str) -> None:
+        """All tables below ``path``, so that requests don't build them again; postings by term."""
+        self.index.save(f"{path}/index")
+        for name in ("records", "vectors", "rules", "nodes", "edges", "missing"):
+            if (df := getattr(self, name)) is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark, path: str, with_vectors: bool = False) -> Catalog:
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Catalog(read("records"), lexical.LexicalIndex.load(spark, f"{path}/index"), read("vectors") if with_vectors else None, read("rules"), read("nodes"), read("edges"), read("missing"))
+
     def near(self) -> DataFrame:
         """``(doc_id, neighbours)``."""
         named = network.neighbours(self.edges).join(self.nodes.select(F.col("id").alias("neighbour"), "is_number", "title"), "neighbour")

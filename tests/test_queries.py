@@ -58,3 +58,27 @@ def test_tfidf_against_brute_force(spark):
         want = [c[i] * (math.log((len(counts) + 1) / (df[i] + 1)) + 1) if c[i] else 0.0 for i in range(64)]
         size = math.sqrt(sum(x * x for x in want)) or 1
         assert got[d] == pytest.approx([x / size for x in want], abs=1e-6)
+
+
+def test_catalog_can_be_stored(spark, tmp_path):
+    from procmatch.plans import pipelines
+
+    built, asked = queries.catalog_without_inferred(spark, DATA), queries.requests(spark, DATA)
+    built.save(f"file://{tmp_path}/catalog")
+    loaded = pipelines.Catalog.load(spark, f"file://{tmp_path}/catalog")
+    columns = ["query_id", "rank", "doc_id", "relevance_score", "reasons"]
+    a, b = (sorted(map(str, pipelines.recommend(asked, c, 3).select(columns).collect())) for c in (built, loaded))
+    assert a == b and len(a) == 3 * asked.count()
+
+
+def test_unrelated_request_scores_low(spark):
+    """Nothing in common: no candidates; little in common: the best is relative to itself."""
+    from procmatch.plans import pipelines
+
+    asked = spark.createDataFrame([(1, "office chair for employees"), (2, ""), (3, None)], "query_id long, query string")
+    assert pipelines.recommend(asked, queries.catalog_without_inferred(spark, DATA), 5).count() == 0
+
+
+def test_recommendations_repeat_and_stay_in_range(spark):
+    rows = queries.recommend_from_requirements(spark, DATA).collect()
+    assert rows and all(0 <= r["relevance_score"] <= 1 and 1 <= r["rank"] <= 3 for r in rows) and any(r["reranked"] for r in rows)
