@@ -171,9 +171,13 @@ def test_near_duplicates_against_brute_force(spark):
             if low[i] == low[j] or n and distance(low[i], low[j]) <= 0.2 * n + 1e-9:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-                sure["links"] += 1
-                sure["found"] += got[i] == got[j]
-    assert sure["found"] >= 0.97 * sure["links"] and len(got) == len(docs) + 2
+                grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (low[i], low[j])]
+                alike = "close" if len(grams[0] & grams[1]) >= 0.4 * len(grams[0] | grams[1]) else "far"
+                sure[alike, "links"] += 1
+                sure[alike, "found"] += got[i] == got[j]
+    # What the sketches promise: nearly all pairs of Jaccard 0.4 or more on five-word shingles; of pairs at the edge of edit similarity, most.
+    assert sure["close", "found"] >= 0.99 * sure["close", "links"] > 50 and len(got) == len(docs) + 2
+    assert sure["far", "found"] >= 0.6 * sure["far", "links"]
     assert all(root(i) == root(got[i]) for i in range(len(docs))) and got[len(docs)] == len(docs)
 
 
