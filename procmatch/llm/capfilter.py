@@ -6,8 +6,10 @@ the joined codewords is above ``threshold``. List-decoding finds all filters tha
 without going through all filters. Vectors join on filter and label; a bucket is cut into parts of bounded size, pairs of parts are compared in
 blocks, and each pair is verified and counted only at the first filter that both vectors exceed, so no pair is written out.
 
-The code grows with the number of different vectors, so that buckets keep their size: ``codes_for``. Equal vectors of a label are
-compared once, and their number counts.
+A code's filters have codewords in common, so a pair that misses one is likely to miss others; ``CODES`` codes, each turned by itself, are
+joined. They grow with the number of different vectors, so that buckets keep their size, and get more filters until hardly
+any of a sample of pairs at the cosine shares none: ``codes_for``. Where no label has more vectors than a bucket may hold, there is one filter that all
+exceed, so all their pairs are compared. Equal vectors of a label are compared once, and their number counts.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components, and those with a null label, link with nothing; rows that
 share an id are one vector's links together; null ids are left as they are; an empty table gives no rows; extra columns are ignored.
@@ -30,6 +32,8 @@ from procmatch.llm.components import connected_components
 COSINE, BLOCKS, SEED = 0.93, 2, 20240101
 #: Vectors of a bucket that one task compares with as many others.
 PART = 1500
+#: Vectors of a bucket, codes turned by themselves, share of pairs at the cosine that may meet in no filter, pairs that measure it.
+SIZE, CODES, MISS, SAMPLE = 600, 16, 0.002, 4000
 
 
 class ProductCode:
@@ -45,36 +49,86 @@ class ProductCode:
         self.threshold = threshold
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the filters that it exceeds, in order.
+        """For each unit vector the filters that it exceeds, in order."""
+        rows, filters = self.exceeded(unit)
+        return np.split(filters, np.searchsorted(rows, np.arange(1, len(unit))))
+
+    def exceeded(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of unit vectors, filters that they exceed), in order.
 
         Codewords of the first block that even the best of the second can't lift above the threshold are not followed.
         """
         turned = unit @ self.turn
         first, second = (turned[:, a:b] @ book[:, : b - a].T for (a, b), book in zip(self.cuts, self.books, strict=True))
         n = second.shape[1]
+        rows, live = np.nonzero(first + second.max(1, keepdims=True) >= self.threshold)
+        step = max(1, (1 << 21) // n)
         out = []
-        for x, y in zip(first, second, strict=True):
-            live = np.flatnonzero(x + y.max() >= self.threshold)
-            i, j = np.nonzero(x[live][:, None] + y[None, :] >= self.threshold)
-            out.append(live[i] * n + j)
-        return out
+        for at in range(0, len(rows), step):
+            r, x = rows[at : at + step], live[at : at + step]
+            i, j = np.nonzero(first[r, x][:, None] + second[r] >= self.threshold)
+            out.append((r[i], x[i] * n + j))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int))
 
 
-def codes_for(vectors: int, dimension: int, cosine: float = COSINE, size: float = 12.0, found: float = 14.0) -> tuple[int, float]:
-    """(codewords a block, threshold) for buckets of about ``size`` vectors and about ``found`` filters that a pair at ``cosine`` shares.
+class TurnedCodes:
+    """Product codes of one size, each turned by itself; their filters are numbered on."""
 
-    A product with a random direction is about normal with variance 1 / dimension; the threshold lets size / vectors of it pass, and of
-    two vectors at ``cosine`` both pass a filter with the probability summed here.
-    """
-    share = min(0.05, size / max(vectors, 1))
-    from statistics import NormalDist
+    def __init__(self, dimension: int, codewords: int, threshold: float, count: int = CODES) -> None:
+        self.size = codewords**2
+        self.codes = [ProductCode(dimension, codewords, threshold, SEED + k) for k in range(count)]
+
+    def exceeded(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, filters = zip(*(code.exceeded(unit) for code in self.codes), strict=True)
+        rows, filters = np.concatenate(rows), np.concatenate([f + k * self.size for k, f in enumerate(filters)])
+        order = np.argsort(rows, kind="stable")
+        return rows[order], filters[order]
+
+
+def _coordinates(dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values that a coordinate of a random unit vector takes, their shares, and those up to each value."""
+    angle = np.linspace(-math.pi / 2, math.pi / 2, 40_001)
+    share = np.cos(angle) ** (dimension - 2)
+    return np.sin(angle), share / share.sum(), np.cumsum(share) / share.sum()
 
-    t = NormalDist().inv_cdf(1 - share)
-    grid = np.linspace(t, t + 6, 600)
-    density = np.exp(-(grid**2) / 2) / math.sqrt(2 * math.pi)
-    other = np.array([1 - NormalDist().cdf((t - cosine * g) / math.sqrt(1 - cosine**2)) for g in grid])
-    both = float((density * other).sum() * (grid[1] - grid[0]))
-    return max(4, math.ceil(math.sqrt(found / both))), t / math.sqrt(dimension)
+
+def missed(codes: TurnedCodes, dimension: int, cosine: float, pairs: int = SAMPLE) -> float:
+    """The share of random pairs at ``cosine`` that exceed no filter together."""
+    rng = np.random.default_rng(SEED)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    together = 0
+    for at in range(0, pairs, 500):
+        x, z = unit(rng.normal(size=(min(500, pairs - at), dimension))), rng.normal(size=(min(500, pairs - at), dimension))
+        y = cosine * x + math.sqrt(1 - cosine**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+        one, other = (r * (len(codes.codes) * codes.size) + f for r, f in (codes.exceeded(v) for v in (x, y)))
+        together += len(np.unique(np.intersect1d(one, other, assume_unique=True) // (len(codes.codes) * codes.size)))
+    return 1 - together / pairs
+
+
+def codes_for(vectors: int, dimension: int, cosine: float = COSINE, size: int = SIZE, miss: float = MISS) -> TurnedCodes:
+    """Codes for buckets of about ``size`` vectors of which pairs at ``cosine`` meet in a filter but for ``miss`` of them.
+
+    The threshold lets size / vectors of a filter's products pass. The number of filters starts from the share of pairs that pass one
+    together, both as of random directions in this dimension, and rises until a sample of pairs meets.
+    """
+    if vectors <= max(size, PART):
+        return TurnedCodes(dimension, 1, -2.0, 1)
+    values, share, upto = _coordinates(dimension)
+    threshold = float(np.interp(1 - size / vectors, upto, values))
+    above = values >= threshold
+    rest, _, rest_upto = _coordinates(max(2, dimension - 1))
+    needed = (threshold - cosine * values[above]) / (math.sqrt(1 - cosine**2) * np.sqrt(np.maximum(1 - values[above] ** 2, 1e-12)))
+    both = float((share[above] * (1 - np.interp(needed, rest, rest_upto))).sum())
+    if both < size / vectors / 5:
+        # In few dimensions a small cap hardly holds both of a pair.
+        return codes_for(vectors, dimension, cosine, 2 * size, miss)
+    found, count = 10.0, CODES
+    while True:
+        codes = TurnedCodes(dimension, max(2, math.ceil(math.sqrt(found / both / count))), threshold, count)
+        if missed(codes, dimension, cosine) <= miss:
+            return codes
+        # More codewords say little in few dimensions, where more turns do.
+        found, count = found * 1.25, count + 4
 
 
 def _array(column: pa.Array, dimension: int) -> np.ndarray:
@@ -93,7 +147,7 @@ def usable(vectors: DataFrame, dimension: int, id_col: str, vector_col: str, lab
     return vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), clean.alias("embedding"))
 
 
-def filtered(reps: DataFrame, code: ProductCode, dimension: int) -> DataFrame:
+def filtered(reps: DataFrame, code: TurnedCodes, dimension: int) -> DataFrame:
     """A row for each representative and filter that it exceeds, with all its filters: ``(label, filter, rep, copies, embedding, filters)``."""
     shared = reps.sparkSession.sparkContext.broadcast(code)
 
@@ -103,12 +157,11 @@ def filtered(reps: DataFrame, code: ProductCode, dimension: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 v = _array(batch.column("embedding"), dimension)
                 v /= np.abs(v).max(1, keepdims=True)
-                lists = shared.value.decode(v / np.linalg.norm(v, axis=1, keepdims=True))
-                take = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                take, found = shared.value.exceeded(v / np.linalg.norm(v, axis=1, keepdims=True))
                 if len(take):
                     rows = batch.take(pa.array(take))
-                    filters = pa.array([x.tolist() for x in lists], pa.list_(pa.int32())).take(pa.array(take))
-                    yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(np.concatenate(lists).astype(np.int32)), rows.column("rep"), rows.column("copies"), rows.column("embedding"), filters], names=["label", "filter", "rep", "copies", "embedding", "filters"])
+                    filters = pa.ListArray.from_arrays(pa.array(np.searchsorted(take, np.arange(len(v) + 1)).astype(np.int32)), pa.array(found.astype(np.int32))).take(pa.array(take))
+                    yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(found.astype(np.int32)), rows.column("rep"), rows.column("copies"), rows.column("embedding"), filters], names=["label", "filter", "rep", "copies", "embedding", "filters"])
 
     kind = reps.schema["label"].dataType.simpleString()
     return reps.mapInArrow(run, f"label {kind}, filter int, rep long, copies long, embedding {reps.schema['embedding'].dataType.simpleString()}, filters array<int>")
@@ -144,7 +197,8 @@ def _compare(ids: np.ndarray, copies: np.ndarray, units: np.ndarray, filters: np
         if p == q:
             near &= rows[:, None] < right[None, :]
         if near.any():
-            near &= ~_earlier(list(filters[rows]), list(filters[right]), f)
+            i, j = (np.flatnonzero(near.any(k)) for k in (1, 0))
+            near[np.ix_(i, j)] &= ~_earlier(list(filters[rows[i]]), list(filters[right[j]]), f)
             i, j = np.nonzero(near)
             pairs.append((rows[i], right[j]))
     if pairs:
@@ -170,7 +224,7 @@ def links(reps: DataFrame, dimension: int, cosine: float = COSINE, part: int = P
     and each pair of parts is a group.
     """
     n = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    rows = stored(filtered(reps, ProductCode(dimension, *codes_for(n, dimension, cosine)), dimension), "caps")
+    rows = stored(filtered(reps, codes_for(n, dimension, cosine), dimension), "caps")
     # Most buckets are small and need no count at their rows; those to be cut are few, and their table joins as its size allows.
     large = stored(rows.groupBy("label", "filter").agg(F.count("*").alias("size")).where(F.col("size") > part).select("label", "filter", F.ceil(F.col("size") / part).cast("int").alias("parts")), "cap-sizes")
     groups = max(1, math.ceil(rows.count() / batch))

@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA, assert_same
 from hypothesis import given, settings
@@ -205,6 +207,19 @@ def test_list_decoding():
         assert got.tolist() == np.flatnonzero((first[:, None] + second[None, :] >= 0.3).ravel()).tolist()
 
 
+def test_links_of_a_large_label_against_brute_force(spark):
+    """24,000 vectors of one label in 64 dimensions, half of them pairs hardly above the cosine."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, z = unit(rng.normal(size=(6000, 64))), rng.normal(size=(6000, 64))
+    y = 0.932 * x + math.sqrt(1 - 0.932**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    v = np.concatenate([x, y, unit(rng.normal(size=(12000, 64)))]).astype(np.float32).astype(float)
+    want = sum(int((unit(v[a : a + 2000]) @ unit(v).T >= capfilter.COSINE).sum()) for a in range(0, len(v), 2000)) - len(v)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist(), "label": 1}), "vec_id long, embedding array<float>, label int")
+    got = capfilter.near_duplicates(df).agg(F.sum("n_links"), F.count("*")).first()
+    assert got[1] == len(v) and want >= 12000 and 0.99 * want <= got[0] <= want
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in capfilter.near_duplicates(df).collect()] == [(1, 0, 1, True)]
