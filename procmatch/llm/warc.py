@@ -6,9 +6,9 @@ lost or ran twice is in no index. ``read_records`` sorts the wanted records by a
 that lie close together into one read, and takes the records from it.
 
 Equal payloads: the record with the largest page_id is the response, the others are revisits without a payload that name
-its digest, length and page. Null html is an empty payload; repeated page_ids are written each (of equal ones with equal payloads one
-row is the response and the others refer to it); null page_ids are written, and are never the response of another; payloads smaller
-than ``min_bytes`` are all responses; an empty table gives no rows.
+its digest, length and page. Null html is an empty payload; repeated page_ids are written each, by their own payloads (rows of the largest
+page_id with equal payloads are all responses, as the SQL form has it); null page_ids are written, and are never the response of another,
+but refer to a page with their payload; payloads smaller than ``min_bytes`` are all responses; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +42,15 @@ def base32_sha1(payload):
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages`` with ``payload_digest``, ``payload_bytes`` and ``refers_to`` (null: a response)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    slim = pages.select("page_id", F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest")).where(F.col("payload_bytes") >= min_bytes)
-    groups = slim.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
-    revisits = slim.join(groups.select("payload_digest", "refers_to"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "refers_to").distinct()
-    return pages.select("page_id", "url", html.alias("payload")).join(revisits, "page_id", "left")
+    key = ["payload_digest", "payload_bytes"]
+    rows = pages.select("page_id", "url", html.alias("payload"), base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    slim = rows.select("page_id", *key).where(F.col("payload_bytes") >= min_bytes)
+    groups = slim.groupBy(*key).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
+    revisits = slim.join(groups.select(*key, "refers_to"), key).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "refers_to").distinct()
+    # By page and payload: a page's rows are each judged by their own payload, and payloads that many pages share don't meet in one task.
+    own = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    return rows.join(revisits, own, "left").drop("_page", "_digest", "_bytes")
 
 
 def _open(uri: str, mode: str):

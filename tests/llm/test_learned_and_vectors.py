@@ -70,6 +70,14 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_repeated_pages_are_judged_by_their_own_payloads(spark):
+    rows = [(5, "u", "A"), (9, "u", "A"), (5, "u", "B"), (7, "u", "B"), (7, "u", "A"), (9, "u", "A"), (4, "u", "C"), (4, "u", "D"), (None, "u", "A"), (None, "u", "E")]
+    read = warc.read_records(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), payloads=True)
+    got = Counter((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"]) for r in warc.payloads(read).collect())
+    to = {(5, "A"): 9, (7, "A"): 9, (5, "B"): 7, (None, "A"): 9}
+    assert got == Counter((i, t, "revisit" if (i, t) in to else "response", to.get((i, t))) for i, _, t in rows)
+
+
 def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.read_records(warc.write_archives(pages, min_bytes=3)).collect()}
