@@ -37,16 +37,15 @@ REPORTING = ["called", "calls", "cited", "citation", "dit", "dijo", "quote", "qu
 QUOTES = "\"'`«»„“”‘’‹›"
 
 _SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_MARKS = "«»„“”‘’‹›…–—"
+_OTHERS = re.compile(r"[^\w\x00-\x7f]+")
 _PIECE = re.compile(rf"[^\W_]+|[{QUOTES}]")
 
 
 def words(text: str) -> list[bytes]:
-    """Lower-case words in UTF-8, cut at all ASCII characters but letters and digits, and at quotation marks and dashes."""
+    """Lower-case words in UTF-8, cut at all characters but letters and digits, as ``_PIECE`` does."""
     low = text.lower()
     if not low.isascii():
-        for mark in _MARKS:
-            low = low.replace(mark, " ")
+        low = _OTHERS.sub(" ", low)
     return low.encode().translate(_SEPARATORS).split()
 
 

@@ -155,6 +155,13 @@ def test_context():
     assert m.finds("a wrthless thing")[0][:2] == ("worthless", 1)
 
 
+@pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\U0001f600", "\uff01", "\u200b", "\u2026", "_", "-"])
+def test_words_end_at_every_other_character(mark):
+    m = toxicity.Model({"moron": 4.0}, set(), toxicity.PRIOR)
+    assert [f[:2] for f in m.finds(f"you{mark}moron{mark}fool é")] == [("moron", 0)]
+    assert toxicity.words(f"É1{mark}ß") == ["é1".encode(), "ß".encode()]
+
+
 # --- vectors ---
 
 
