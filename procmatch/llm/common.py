@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='procmatch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -31,6 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column's name that none of ``taken`` has, whatever its case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,3 +62,21 @@ def labelled_sample(labels: DataFrame, label: str, bound: int, divisor: int = 3,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
+
+
+#: Keys with more than a HOT-th of all rows are fewer than HOT, so a table of them may be broadcast whatever the input's size.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``count`` how many of ``rows`` the key may have.
+
+    Rows of hot keys meet a broadcast table of fewer than ``HOT`` rows and stay where they are; all others are shuffled by the key.
+    """
+    table = stored(table, "by-key")
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    cut = (total or 0) // HOT + 1
+    if (most or 0) <= cut:
+        return rows.join(table, key)
+    hot = F.broadcast(table.where(F.col(count) > cut))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= cut), key))

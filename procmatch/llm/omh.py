@@ -3,15 +3,20 @@
 A document's k-mers of ``K`` words carry the number of their occurrence, so that repeats differ. For each of ``SKETCHES`` hash functions the ``PER_SKETCH``
 k-mers with the smallest hashes, in the order of the text, make one sketch: equal sketches need shared k-mers in the
 same order, which edit similarity makes likely. Documents with a sketch in common are candidates; a pair links if the word edit distance,
-computed in a band as wide as allowed, is at most 1 - ``SIMILARITY`` of the longer document's words.
+computed in a band as wide as allowed (``align``), is at most 1 - ``SIMILARITY`` of the longer document's words.
 
-Equal documents (the same words, lower case) collapse first. Of a bucket's documents each is compared with one leader, never each with each: with the
-smallest id, then with the largest, then with ones drawn by hash, as long as the bucket has documents of different classes that
-were not compared. So a bucket's work is proportional to its size, and a class is found once its documents hang together by links.
+Equal documents (the same words, lower case) collapse first. A bucket's documents are then compared in three steps:
+
+1. each with the bucket's smallest id;
+2. where classes are left apart, each with a document drawn by hash, another one in each bucket;
+3. where classes are still apart, all pairs of different classes, in blocks inside tasks: by lengths and by the word pairs that
+   they share, which leaves only pairs that the similarity allows; these are aligned. Large buckets are cut in parts, and each pair of parts is a group.
+
+So no candidate is left out: what steps 1 and 2 join need not be compared again, and step 3 sees all the rest.
 
 Defined cases: null texts are in no class but their own; texts without words are equal only to equal texts; a document of fewer than K words is
 one k-mer; rows that share an id are one document; null ids are left out of the classes and stay in ``deduplicate``; very long
-texts are aligned whole; an empty table gives no rows; extra columns stay as they are.
+texts are aligned whole; an empty table gives no rows; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,21 +24,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import stored
+from procmatch.llm import align
+from procmatch.llm.common import free_name, join_spread, stored
 from procmatch.llm.components import connected_components
 
-K, PER_SKETCH, SKETCHES, SIMILARITY, ROUNDS = 5, 2, 24, 0.8, 6
+K, PER_SKETCH, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
+#: Bins of the word pairs that stand for a text in step 3; rows of a bucket that are compared with as many others at once.
+BINS, PART = 512, 2000
 
 _SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
-#: Words stand as characters from here on in ``codes``, of 50,000 kinds: two different words look alike once in 50,000 times.
-_FIRST, _KINDS = 0x1000, 50_000
+
+
+#: The most that a bin counts.
+FULL = 65_535
 
 
 def words(text: str) -> list[bytes]:
@@ -81,8 +92,15 @@ def sketches(grams: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH) ->
     return v
 
 
+def bag(codes: np.ndarray) -> np.ndarray:
+    """How many of the word pairs (each word with its next) fall into each bin."""
+    h = codes.astype(np.uint64)
+    h = _mixed(h[:-1] * _MIX[1] + h[1:]) if len(h) > 1 else h[:0]
+    return np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, n, codes, bands)``: the text's identity, its number of words, a character for each word, its sketches."""
+    """``(id, key, n, codes, bands)``: the text's identity, its number of words, 32 bits for each word, its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -101,61 +119,156 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                             known[key] = sketches(kmers(h)).view(np.int64).tolist() if ws else []
                         keys.append(key)
                         sizes.append(len(ws))
-                        codes.append((h % np.uint64(_KINDS) + np.uint64(_FIRST)).astype("<u4").tobytes().decode("utf-32-le"))
+                        codes.append((h >> np.uint64(32)).astype("<u4").tobytes())
                         bands.append(known[key])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(codes), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "codes", "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "codes", "bands"])
+
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, key string, n int, codes binary, bands array<long>")
+
 
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, key string, n int, codes string, bands array<long>")
+def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``(a, b)`` that link; ``texts``: ``(id, n, codes)``. The alignment stays within the band that the similarity leaves."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("codes").alias(f"codes{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(f"levenshtein(codesa, codesb, cast(floor(greatest(na, nb) * {1 - similarity} + 1e-9) as int)) >= 0").select("a", "b")
+    """The pairs ``(a, b)`` that link; ``texts``: ``(id, n, codes)``, one row for each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sides = [[np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3)]
+                most = allowed(np.array([max(len(a), len(b)) for a, b in zip(*sides, strict=True)]), similarity).tolist()
+                ok = pa.array(align.within(list(zip(*sides, most, strict=True))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("codes").alias(f"codes{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "codesa", "codesb").mapInArrow(run, "a long, b long")
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Different pairs ``(a, b)``, the smaller id first, whose numbers of words allow the similarity."""
+    side = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9).select("a", "b")
+
+
+def _with_class(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.join(parts, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+
+
+def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """``parts`` after its components have been joined by the edges ``more`` between documents."""
+    end = lambda df, c: df.join(parts, F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("component", c)).drop("node", "component")
+    up = stored(connected_components(end(end(more, "a"), "b")), "merged")
+    moved = parts.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(moved.unionByName(up.join(parts.select("node"), "node", "left_anti")), "parts")
+
+
+def _apart(now: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold different classes. ``now``: ``(band, id, class)``."""
+    return now.join(now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band"), "band", "left_semi")
+
+
+def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
+    """The pairs ``(a, b)`` of different classes in a bucket whose lengths and word pairs allow the similarity; of equal ones one.
+
+    Edits touch two word pairs each, so similar texts of n words share all but twice their edits of n - 1. A bucket's rows are
+    compared block by block, or part by part where they are more than ``part``.
+    """
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                got = [np.minimum(bag(np.frombuffer(x, "<u4")), FULL).astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "bag"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "p", "q", "n", "id"], ignore_index=True)
+        held = np.stack([np.frombuffer(x, "<u2") for x in pdf["bag"]])
+        ids, n, kind, own = (pdf[c].to_numpy() for c in ("id", "n", "class", "own"))
+        keys = pdf[["band", "p", "q"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(pdf)]
+        found = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            left, right = (x + np.flatnonzero(own[x:y] == keys[x, k]) for k in (1, 2))
+            for at in range(0, len(left), 64):
+                i = left[at : at + 64]
+                # Rows lie in the order of their lengths, so what can be similar to the block is one stretch.
+                j = right[(n[right] >= n[i[0]] * similarity - 1) & (n[right] * similarity - 1 <= n[i[-1]])]
+                if not len(j):
+                    continue
+                most = np.maximum(n[i][:, None], n[j][None, :])
+                ok = (kind[i][:, None] != kind[j][None, :]) & (np.minimum(n[i][:, None], n[j][None, :]) >= most * similarity - 1e-9)
+                if keys[x, 1] == keys[x, 2]:
+                    ok &= i[:, None] < j[None, :]
+                u, v = np.nonzero(ok)
+                for k in range(0, len(u), 20_000):
+                    r, s = i[u[k : k + 20_000]], j[v[k : k + 20_000]]
+                    longer = np.maximum(n[r], n[s])
+                    # A full bin may hold more than it says, but only in texts of more words than that.
+                    good = (np.minimum(held[r], held[s]).sum(1, dtype=np.int64) >= longer - 1 - 2 * allowed(longer, similarity)) | (longer > FULL)
+                    found.append((ids[r[good]], ids[s[good]]))
+        a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    texts = codes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "codes").mapInArrow(bags, "id long, bag binary")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
+    total = rows.count()
+    groups = F.lit(max(1, total // part))
+    dealt = join_spread(rows.withColumnRenamed("n", "words"), sizes, "band").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).drop("n").withColumnRenamed("words", "n")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    dealt = dealt.withColumn("group", F.when(F.col("parts") == 1, F.pmod("band", groups)).otherwise(F.xxhash64("band", "p", "q"))).join(texts, "id")
+    return dealt.select("group", "band", "id", "n", "class", "own", "p", "q", "bag").groupBy("group").applyInPandas(compare, "a long, b long").distinct()
+
+
+def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Components ``(node, component)`` and the links ``(a, b)`` that were verified. ``texts``: ``sketched``, one row for each text."""
+    rows = texts.select("id", F.explode("bands").alias("band"))
+    lead = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    live = stored(join_spread(rows, lead, "band").select("band", "id", "lead"), "buckets")
+    codes = stored(texts.select("id", "n", "codes").join(live.select("id").distinct(), "id", "left_semi"), "codes")
+    pairs = stored(_fitting(live.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), codes, similarity), "pairs")
+    found = stored(similar(pairs, codes, similarity), "links")
+    parts = stored(connected_components(found), "parts")
+
+    rest = stored(_apart(_with_class(live.select("band", "id"), parts)), "apart")
+    lead = rest.groupBy("band").agg(F.min_by(F.struct("id", "class"), F.xxhash64("id", "band")).alias("lead"), F.count("*").alias("n"))
+    other = join_spread(rest, lead, "band").where(F.col("class") != F.col("lead.class")).select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+    second = stored(_fitting(other, codes, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(similar(second, codes, similarity), "links")
+    parts = _merged(parts, more)
+
+    rest = stored(_apart(_with_class(rest.drop("class"), parts)).join(codes.select("id", "n"), "id"), "apart")
+    last = stored(compatible(rest, codes, similarity).join(pairs.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+    final = stored(similar(last, codes, similarity), "links")
+    return _merged(parts, final), found.unionByName(more).unionByName(final)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """``(doc_id, class_id)`` for each different non-null id; the class is its smallest id."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, class_id, rep_id)`` for each different non-null id: the class is its smallest id, ``rep_id`` the smallest id with the same words."""
     texts = stored(sketched(docs, id_col, text_col), "sketches")
-    copies = texts.groupBy("key").agg(F.min("id").alias("rep"))
-    member = stored(texts.select("id", "key").join(copies, "key").select("id", "rep").distinct(), "copies")
+    copies = stored(texts.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
+    member = stored(join_spread(texts.select("id", "key"), copies, "key").select("id", "rep").distinct(), "members")
     reps = texts.join(copies.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
-    rows = reps.select("id", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    live = stored(rows.join(shared, "band"), "buckets")
-    codes = stored(texts.select("id", "n", "codes").join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "codes")
-    found = tested = None
-    parts = live.select(F.col("id").alias("node"), F.col("id").alias("component")).where("false")
-    for r in range(rounds):
-        now = live.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("class"))
-        at = F.struct("id", "n", "class")
-        leader = (F.min(at), F.max(at))[r] if r < 2 else F.min_by(at, F.xxhash64("id", F.lit(r)))
-        lead = now.groupBy("band").agg(leader.alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band", "lead")
-        near = F.least("n", "lead.n") >= F.greatest("n", "lead.n") * similarity - 1e-9
-        pairs = now.join(lead, "band").where(near & (F.col("class") != F.col("lead.class"))).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.take(1):
-            break
-        new = stored(similar(pairs, codes, similarity), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-        if new.take(1):
-            parts = connected_components(found)
-    twice = member.join(member.groupBy("id").agg(F.count("*").alias("k")).where("k > 1"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    twice = stored(member.join(member.groupBy("id").agg(F.count("*").alias("k")).where("k > 1"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")), "twice")
+    # Rows that share an id but not the text are one document: the text with the smallest key stands for it, and its class is joined with the others'.
+    one = reps.groupBy("id").agg(F.min_by(F.struct("n", "codes", "bands"), "key").alias("t")).select("id", "t.*") if twice.take(1) else reps.drop("key")
+    parts, _ = links(one, similarity)
     if twice.take(1):
-        parts = connected_components(twice if found is None else found.unionByName(twice))
-    placed = member.join(parts, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+        parts = _merged(parts, twice)
+    placed = member.join(parts, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"), F.min("rep").alias("rep_id"))
     alone = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id")).distinct().join(member.select("id"), "id", "left_anti")
-    return placed.unionByName(alone.select("id", F.col("id").alias("class_id"))).withColumnRenamed("id", id_col)
+    return placed.unionByName(alone.select("id", F.col("id").alias("class_id"), F.col("id").alias("rep_id"))).withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id; of rows that share an id one stays."""
-    gone = stored(classes(docs, id_col, text_col, similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")), "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    name = free_name("gone", docs.columns)
+    gone = stored(classes(docs, id_col, text_col, similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(name)), "gone")
+    kept = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    twice = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias(f"{name}_n")).where(F.col(f"{name}_n") > 1).select(name), "twice")
     if not twice.take(1):
         return kept
-    same = F.col(id_col) == F.col("_twice")
+    same = F.col(id_col) == F.col(name)
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
