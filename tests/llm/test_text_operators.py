@@ -284,7 +284,7 @@ def test_language_model_against_brute_force(spark):
     tok = lambda t: [w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())] + ["\n"]
     c = Counter(w for t, k in texts if k for w in tok(t))
     n, v = sum(c.values()), len(c)
-    cls = lambda w: int(model.of[model.items(w.encode())])
+    cls = lambda w: model.classes(w.encode())
     held, kinds, pair = Counter(), Counter(), Counter()
     for w, m in c.items():
         held[cls(w)] += m
@@ -322,6 +322,52 @@ def test_exchange_finds_alternating_classes():
     assert len(set(of[:4])) == len(set(of[4:])) == 1 and of[0] != of[4]
 
 
+def likelihood(n, of):
+    one = np.eye(of.max() + 1)[of]
+    pair = one.T @ n @ one
+    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0).sum()
+    return h(pair) - h(pair.sum(0)) - h(pair.sum(1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_single_exchange_improves(seed):
+    n = np.random.default_rng(seed).poisson(0.7, (40, 40)).astype(float)
+    of = lm_brown.exchange(n, classes=5, most=100)
+    best = likelihood(n, of)
+    for i in range(40):
+        for c in range(5):
+            other = of.copy()
+            other[i] = c
+            assert len(set(other)) < 5 or likelihood(n, other) <= best + 1e-6
+
+
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(5)
+    n, of = rng.poisson(2, (12, 12)).astype(float), rng.integers(0, 4, 12)
+    one = np.eye(4)[of]
+    own, out, into = n[3, 3], n[3] @ one, n[:, 3] @ one
+    out[of[3]] -= own
+    into[of[3]] -= own
+    rest = n.copy()
+    rest[3], rest[:, 3] = 0, 0
+    got = lm_brown.gains(one.T @ rest @ one, out, into, own)
+    want = [likelihood(n, np.concatenate([of[:3], [c], of[4:]])) for c in range(4)]
+    assert np.diff(got) == pytest.approx(np.diff(want))
+
+
+def test_words_move_by_their_own_neighbours(spark):
+    """Rare words with the same ending but different company part: 'nimba' stands where colours stand, 'lomba' where animals do."""
+    colours, animals = ["red", "green", "blue"], ["cats", "dogs", "birds"]
+    lines = [f"{c} {a} run" for c in colours for a in animals] * 20 + ["nimba cats run", "nimba dogs run"] * 3 + ["red lomba run", "blue lomba run"] * 3
+    texts = spark.createDataFrame([(x,) for x in lines], "text string")
+    counts = lm_brown.word_counts(texts).collect()
+    items = lm_brown.Items(["\n", *colours, *animals, "run"], ["ba"])
+    of = lm_brown.Classes(items, np.array([0, 1, 1, 1, 2, 2, 2, 3, 1, 1]))
+    pair = lm_brown._pairs(texts, of, of.count)
+    assert pair.sum() == sum(r["c"] for r in counts) and pair[0, 1] == 180 + 6 + 6 and pair[3, 0] == len(lines)
+    assert lm_brown.moved(texts, ["nimba", "lomba"], of, pair) == {b"nimba": 1, b"lomba": 2}
+
+
 def test_language_model_beats_base_on_held_out_text(spark):
     r = queries.op7_brown_lm(spark, DATA).toPandas()
     held = r[r["held_out"]]
