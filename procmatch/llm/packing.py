@@ -3,7 +3,9 @@
 ``tokenize`` cuts documents into pieces of at most ``capacity`` tokens. ``pack`` deals the pieces to groups of
 bounded size; each group runs best-fit decreasing and compares its number of bins with lower bounds from
 dual-feasible functions. Bins with much room, and all of groups above their bound, are exchanged whole between groups
-and packed again, fewer groups each time; a group keeps its former bins unless the new ones are fewer.
+and packed again; a group keeps its former bins unless the new ones are fewer. This ends when the number of all bins equals the
+bound of all pieces, or when an exchange saves no bin. ``group_bins`` and ``group_bound`` are each piece's certificate: the bins of the group that it was last
+packed in, and the least that this group's pieces need.
 
 Defined cases: null and empty texts are one piece holding the end token; repeated rows are packed each by itself; a
 null id stays null; a text of any length is tokenized whole; an empty table gives no rows; extra columns are ignored.
@@ -11,6 +13,8 @@ null id stays null; a text of any length is tokenized whole; an empty table give
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import re
 import zlib
@@ -28,8 +32,8 @@ from procmatch.llm.common import stored
 CAPACITY = 1024
 #: Pieces that one group packs at once.
 GROUP = 50_000
-#: Chunks that a worker remembers the ids of; beyond that it starts anew, which costs time but changes nothing.
-REMEMBERED = 1_000_000
+#: Bytes of chunks and ids that a worker remembers within a task; beyond that it starts anew, which costs time but changes nothing.
+REMEMBERED = 96 << 20
 #: New chunks that are tokenized at once.
 TOGETHER = 20_000
 
@@ -63,6 +67,11 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.size = 0
+        # Cutting at spaces rests on a byte-level pre-tokenizer by pattern, without any normalizer; others get whole texts.
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.cuts = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.together = self._tokenizers
         ranks = self._ranks({t: i for t, i in vocabulary.items() if t not in self.special})
         if ranks:
@@ -103,6 +112,9 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
+    def forget(self) -> None:
+        self.seen, self.size = {}, 0
+
     def learn(self, new: list[str]) -> None:
         names, texts = [], []
         for c in new:
@@ -125,11 +137,15 @@ class Encoder:
                 self.seen[own[k]] = self.alone(part[k])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return [self.alone(t) if t else b"" for t in texts]
         cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+        if self.size > REMEMBERED:
+            self.forget()
         if new := set().union(*cut).difference(self.seen):
             self.learn(list(new))
+            # A string, its ids' bytes and their place in the table take some 200 bytes besides their contents.
+            self.size += sum(200 + 2 * len(c) + len(self.seen[c]) for c in new)
         get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -166,6 +182,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True) if out else [()] * len(names), kinds, strict=True)], names=names)
+        encode.forget()  # the worker lives on
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -214,7 +231,7 @@ def lower_bound(counts: np.ndarray) -> int:
 
 
 def _repack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """One group: packed, or left as it was if that has no more bins. ``settled``: its number of bins is proven least."""
+    """One group: packed, or left as it was if that has no more bins; with its number of bins and the least that is possible."""
     pdf = pdf.sort_values("row", ignore_index=True)
     n, former = pdf["length"].to_numpy(), pdf["sequence_id"].to_numpy()
     before = len(np.unique(former)) if (former >= 0).all() else len(n) + 1
@@ -227,36 +244,48 @@ def _repack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
             first[place[at]] = pdf["row"].to_numpy()[at]
             pdf["sequence_id"], pdf["offset"], pdf["room"] = first[place], offset, capacity - fill[place]
             before = len(fill)
-    pdf["settled"] = before <= least
+    pdf["group_bins"], pdf["group_bound"] = before, least
     return pdf
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 4) -> DataFrame:
-    """``pieces`` (stored, with ``row`` and ``length``) with ``sequence_id`` and ``offset``. A sequence has the ``row`` of its first piece as its id."""
-    done = [pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col("row"), "offset": F.lit(0).cast("long")})]
-    todo = pieces.where(F.col("length") < capacity).withColumns({"sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long"), "room": F.lit(capacity).cast("long"), "settled": F.lit(False)})
-    names, parts = done[0].columns, 0
-    for r in range(rounds):
+def bound_of(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """The least number of bins for all pieces, from the counts of their lengths."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return lower_bound(counts)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """``pieces`` (stored, with ``row`` and ``length``) with ``sequence_id``, ``offset``, ``group_bins`` and ``group_bound``. A sequence has the ``row`` of its first piece as its id."""
+    long = lambda x: F.lit(x).cast("long")
+    done = [pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col("row"), "offset": long(0), "group_bins": long(1), "group_bound": long(1)})]
+    names = done[0].columns
+    todo = pieces.where(F.col("length") < capacity).withColumns({"sequence_id": long(-1), "offset": long(0), "group_bins": long(0), "group_bound": long(0), "room": long(capacity)})
+    least = bound_of(todo, capacity)
+    settled = was = 0
+    for r in itertools.count():
         left = todo.count()
-        if not left or parts == 1:
-            break
-        parts = max(1, math.ceil(left / group)) if not r else max(1, min(parts // 2, math.ceil(left / group)))
-        key = F.col("row") if not r else F.col("sequence_id")
-        dealt = todo.withColumn("part", F.pmod(F.xxhash64(key, F.lit(r)), F.lit(parts))).repartition(parts, "part")
+        if not left:
+            return _union(done)
+        parts = math.ceil(left / group)
+        dealt = todo.withColumn("part", F.pmod(F.xxhash64("sequence_id" if r else "row", F.lit(r)), F.lit(parts))).repartition(parts, "part")
         packed = stored(dealt.groupBy("part").applyInPandas(lambda pdf: _repack(pdf, capacity), dealt.schema).drop("part"), "packed")
-        if parts == 1 or r == rounds - 1:
-            done.append(packed.select(names))
-            break
-        again = ~F.col("settled") | (F.col("room") >= capacity // 16)
+        bins = packed.where("offset = 0").count()
+        # One group that was packed whole can't do better by itself; nor need others, when all is proven or the last exchange saved nothing.
+        if parts == 1 or settled + bins <= least or (r and bins >= was):
+            return _union([*done, packed.select(names)])
+        again = (F.col("group_bins") > F.col("group_bound")) | (F.col("room") >= capacity // 16)
         done.append(packed.where(~again).select(names))
         todo = packed.where(again)
-    else:
-        done.append(todo.select(names))
-    if not left:
-        done.append(todo.select(names))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        was = todo.where("offset = 0").count()
+        settled += bins - was
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -96,7 +96,28 @@ def test_exchange_merges_groups(spark):
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 100, 3000).tolist()
     pieces = spark.createDataFrame([(i, i, 0, 0, n, 0) for i, n in enumerate(lengths)], "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(pieces, capacity=100, group=200, rounds=6).toPandas()
+    got = packing.pack(pieces, capacity=100, group=200).toPandas()
     assert len(got) == 3000
     bins = got["sequence_id"].nunique()
     assert bins <= packing.lower_bound(np.bincount(lengths, minlength=101)) * 1.01
+    assert (got["group_bins"] >= got["group_bound"]).all() and (got["group_bound"] > 0).all()
+
+
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    own = packing.Encoder(PATH)
+    monkeypatch.setattr(packing, "REMEMBERED", 10_000)
+    texts = [f"chunk{i} of text{i}" for i in range(500)]
+    for t in texts:
+        own([t])
+        assert own.size < 12_000
+    assert b"".join(own(texts)) == b"".join(ENCODER(texts))
+
+
+def test_other_pre_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    made = json.loads(Tokenizer.from_file(PATH).to_str())
+    made["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    own = packing.Encoder(str(tmp_path / "t.json"))
+    assert not own.cuts and np.frombuffer(own(["Some Text  here"])[0], "<u4").tolist() == Tokenizer.from_file(str(tmp_path / "t.json")).encode("Some Text  here", add_special_tokens=False).ids
