@@ -1,26 +1,29 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items' words.
 
 The automaton is built on the driver for at most ``BLOCK_WORDS`` words of items and broadcast; more items make more
-blocks, and the documents stream through one block after the other. Each document is read once a block, word by word:
+blocks, and the documents stream through one block after the other, with what was found so far stored in between, so that driver and workers hold one block
+at a time. Each document is read once a block, word by word:
 the automaton's state gives the longest match that ends there, and its marks give the items that it occurs in.
 
 Defined cases: null texts and texts without words have no hits; items without words count for nothing; equal items count
-each; documents of any length are read whole; repeated rows are judged each; extra columns stay as they are.
+each; documents of any length are read whole; repeated rows are judged each; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procmatch.llm.common import free_name, stored
+
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 
 #: UTF-8 bytes: A-Z to a-z, separators to a space, byte for byte.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -30,6 +33,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORDS).split() if text else []
 
 
+_NONE: frozenset[int] = frozenset()
+
+
 class SuffixAutomaton:
     """Of several word sequences; its states carry the items whose windows they stand for."""
 
@@ -56,13 +62,21 @@ class SuffixAutomaton:
             if 0 < len(ws) < window:
                 self.short.setdefault(v, []).append((len(ws), k))
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        self.has_short = [False] * len(self.next)
-        self.at_window = list(range(len(self.next)))  # where a match of at least a window, cut to a window, stands
+        self.has_short = bytearray(len(self.next))
+        self.at_window = array("i", range(len(self.next)))  # where a match of at least a window, cut to a window, stands
         for v in order:
             u = self.link[v]
             self.has_short[v] = v in self.short or self.has_short[u]
             if u > 0 and self.length[u] >= window:
                 self.at_window[v] = self.at_window[u]
+        self._flatten()
+
+    def _flatten(self) -> None:
+        """Most states have one way on, kept in two arrays; a dictionary holds the ways of the others only, and sets those of states that stand for items."""
+        self.items = {v: frozenset(x) for v, x in enumerate(self.items) if x}
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.only, self.to = (array("i", [next(iter(f(x)), -1) if len(x) == 1 else -1 for x in self.next]) for f in (dict.keys, dict.values))
+        self.next = {v: x for v, x in enumerate(self.next) if len(x) > 1}
 
     def _new(self, length: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
@@ -94,7 +108,7 @@ class SuffixAutomaton:
 
     def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint spans [from, to) of hit words in order, and the items found."""
-        code, following, link, length, window = self.vocabulary.get, self.next, self.link, self.length, self.window
+        code, several, only, target, link, length, window = self.vocabulary.get, self.next, self.only, self.to, self.link, self.length, self.window
         v = n = 0
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
@@ -103,16 +117,17 @@ class SuffixAutomaton:
             if w is None:
                 v = n = 0
                 continue
-            to = following[v].get(w)
-            while to is None and v:
+            while True:
+                to = target[v] if only[v] == w else several[v].get(w, -1) if v in several else -1
+                if to >= 0 or not v:
+                    break
                 v = link[v]
                 n = length[v]
-                to = following[v].get(w)
-            if to is None:
+            if to < 0:
                 continue
             v, n = to, n + 1
             if n >= window:
-                found |= self.items[self.at_window[v]]
+                found |= self.items.get(self.at_window[v], _NONE)
                 spans.append((i - window + 1, i + 1))
             if self.has_short[v]:
                 u = v
@@ -135,37 +150,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[SuffixAutomaton]:
-    """One for each block of items; a block is collected only after its size is known."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items (name, words) in blocks, each collected only after its size is known. An item of more words than a block is a block's only one, if the hash has it so."""
     items = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("item_text"))
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 2 / block_words))
-    out = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        out.append(SuffixAutomaton(sorted((r["item"], words(r["item_text"])) for r in rows), window))
-    return out
+    count = max(1, -(-size // 2 // block_words))
+    for k in range(count):
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()
+        yield sorted((r["item"], words(r["item_text"])) for r in rows)
+
+
+SPANS, FOUND = "array<struct<from: int, to: int>>", "array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (word positions [from, to)) and ``hit_items`` (sorted as strings)."""
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<from: int, to: int>>)"), "hit_items": F.expr("cast(array() as array<string>)")})
-    at = docs.columns.index(text_col)
-    for automaton in automata(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
+    """``docs`` with three more columns under ``names``: the number of words, hit spans (word positions [from, to)) and items (sorted as strings)."""
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"choose other names than {names}: the documents have such columns")
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    none = F.expr(f"cast(array() as {SPANS})"), F.expr(f"cast(array() as {FOUND})")
+    out = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), *none), strict=True)))
+    former = None
+    for block in blocks(benchmark, block_words):
+        if former is not None:
+            out = stored(out, "contamination")
+            former.destroy()
+        shared = former = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
                 n, spans, items = [], [], []
-                for text, was, had in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                for text, was, had in zip(batch.column(at).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
                     ws = words(text)
                     s, i = own.hits(ws)
                     n.append(len(ws))
                     spans.append([{"from": a, "to": b} for a, b in merged([*s, *((x["from"], x["to"]) for x in was)])])
                     items.append(sorted(i.union(had)))
-                new = [pa.array(v, batch.schema.field(batch.num_columns - 3 + k).type) for k, v in enumerate((n, spans, items))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], schema=batch.schema)
+                new = [pa.array(v, batch.schema.field(width + k).type) for k, v in enumerate((n, spans, items))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], schema=batch.schema)
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -173,10 +196,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: how much of it is hit, and by which items."""
-    found = find_contamination(docs.select(id_col, text_col), benchmark, window, text_col)
+    found = find_contamination(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")), benchmark, window, "body")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return found.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.col("doc").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
@@ -195,10 +218,11 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without benchmark text: documents with more than ``max_coverage`` of their words hit go, and of the others the
     hit spans of over ``max_span`` words, and all of those that a whole short item makes."""
-    found = find_contamination(docs, benchmark, window, text_col)
     names, at = docs.columns, docs.columns.index(text_col)
-    n_hit = F.aggregate("hit_spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
-    kept = found.where((F.col("n_words") == 0) | (n_hit <= F.col("n_words") * max_coverage))
+    n_words, spans, items = (free_name(n, names) for n in ("n_words", "hit_spans", "hit_items"))
+    found = find_contamination(docs, benchmark, window, text_col, names=(n_words, spans, items))
+    n_hit = F.aggregate(spans, F.lit(0), lambda n, s: n + s["to"] - s["from"])
+    kept = found.where((F.col(n_words) == 0) | (n_hit <= F.col(n_words) * max_coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
