@@ -11,7 +11,8 @@ joined. They grow with the number of different vectors, so that buckets keep the
 any of a sample of pairs at the cosine shares none: ``codes_for``. Where no label has more vectors than a bucket may hold, there is one filter that all
 exceed, so all their pairs are compared. Equal vectors of a label are compared once, and their number counts.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components, and those with a null label, link with nothing; rows that
+Defined cases: vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with nothing; vectors link with those
+of as many components only; rows that
 share an id are one vector's links together; null ids are left as they are; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -156,7 +157,7 @@ def filtered(reps: DataFrame, code: TurnedCodes, dimension: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 v = _array(batch.column("embedding"), dimension)
-                v /= np.abs(v).max(1, keepdims=True)
+                v = v / np.abs(v).max(1, keepdims=True)
                 take, found = shared.value.exceeded(v / np.linalg.norm(v, axis=1, keepdims=True))
                 if len(take):
                     rows = batch.take(pa.array(take))
@@ -251,15 +252,28 @@ def links(reps: DataFrame, dimension: int, cosine: float = COSINE, part: int = P
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of each row."""
-    dimension = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
-    slim = vectors.select(F.col(id_col).alias("vec_id"))
-    if dimension is None or dimension[0] < BLOCKS:
+    slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
+    sizes = [r["d"] for r in slim.where(F.size("embedding") > 0).select(F.size("embedding").alias("d")).distinct().collect()]
+    linked = None
+    for d in sorted(sizes):
+        part = stored(_linked(slim.where(F.size("embedding") == d), d, cosine), "cap-members")
+        linked = part if linked is None else linked.unionByName(part)
+    if linked is None:
         return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    reps = stored(representatives(vectors, dimension[0], id_col, vector_col, label_col), "cap-reps")
-    counts, edges = links(reps, dimension[0], cosine)
-    parts = connected_components(edges)
-    member = usable(vectors, dimension[0], id_col, vector_col, label_col).join(reps, ["label", "embedding"]).select("vec_id", "rep", "copies").distinct()
-    placed = member.join(counts, "rep", "left").join(parts, member["rep"] == parts["node"], "left")
-    linked = placed.select(F.col("vec_id").alias("_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("_n"), F.coalesce("component", "rep").alias("_c")).groupBy("_id").agg(F.max("_n").alias("_n"), F.min("_c").alias("_c"))
+    linked = linked.groupBy("_id").agg(F.max("_n").alias("_n"), F.min("_c").alias("_c"))
     own = F.coalesce("_c", "vec_id")
     return slim.join(linked, F.col("vec_id") == F.col("_id"), "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), own.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def _linked(slim: DataFrame, dimension: int, cosine: float) -> DataFrame:
+    """``(_id, _n, _c)``: links and component of the usable vectors of one length."""
+    if dimension < BLOCKS:
+        # Components more, which are 0, change no cosine; so that each block of the code has one.
+        none = F.array_repeat(F.lit(0).cast(slim.schema["embedding"].dataType.elementType), BLOCKS - dimension)
+        slim, dimension = slim.withColumn("embedding", F.concat("embedding", none)), BLOCKS
+    reps = stored(representatives(slim, dimension), "cap-reps")
+    counts, edges = links(reps, dimension, cosine)
+    parts = connected_components(edges)
+    member = usable(slim, dimension, "vec_id", "embedding", "label").join(reps, ["label", "embedding"]).select("vec_id", "rep", "copies").distinct()
+    placed = member.join(counts, "rep", "left").join(parts, member["rep"] == parts["node"], "left")
+    return placed.select(F.col("vec_id").alias("_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("_n"), F.coalesce("component", "rep").alias("_c"))
