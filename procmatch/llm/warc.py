@@ -18,7 +18,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +30,7 @@ from procmatch.llm.common import new_path, stored
 
 #: Ranges with no more bytes than this between them are read at once; no read is longer than READ.
 GAP, READ = 64 << 10, 8 << 20
-INDEX = "page_id long, archive string, offset long, length long, url string, payload_digest string"
+INDEX = "page_id string, archive string, offset long, length long, url string, payload_digest string"
 
 
 def base32_sha1(payload):
@@ -60,15 +60,15 @@ def _open(uri: str, mode: str):
     return where.open_output_stream(path, compression=None) if mode == "w" else where.open_input_file(path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> tuple[bytes, str]:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> tuple[bytes, str]:
     """A WARC record and its payload's digest."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
     target = quote(url or "", safe="".join(map(chr, range(33, 127))))
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", *([] if page_id is None else [f"X-Page-ID: {quote(page_id, safe='')}"])]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}", "WARC-Truncated: length"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {quote(refers_to, safe='')}", "WARC-Truncated: length"]
     block = http if refers_to is not None else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
@@ -110,12 +110,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                 rows.append((page_id, archive, at, len(member), url, digest))
                 at += len(member)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
         if out:
             out.close()
 
     planned = plan_records(pages, min_bytes)
-    return stored(planned.select(F.col("page_id").cast("long"), "url", "payload", F.col("refers_to").cast("long")).mapInArrow(run, INDEX), "warc-index")
+    index = planned.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string")).mapInArrow(run, INDEX)
+    return stored(index.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType)), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> list[tuple[int, int, list[int]]]:
@@ -129,7 +130,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) -
     return out
 
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+RECORD = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
@@ -153,12 +154,11 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
                         digest = fields["warc-payload-digest"].removeprefix("sha1:")
                         if not revisit and (len(payload) != stated or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"a record of {archive} doesn't match its digest")
-                        rows.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, part["url"].iloc[k], fields["warc-type"], int(fields["x-refers-to-page"]) if revisit else None, stated, digest, *([None if revisit else payload] if payloads else [])))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        rows.append((unquote(fields["x-page-id"]) if "x-page-id" in fields else None, part["url"].iloc[k], fields["warc-type"], unquote(fields["x-refers-to-page"]) if revisit else None, stated, digest, *([None if revisit else payload] if payloads else [])))
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads)
 
     parts = max(1, index.rdd.getNumPartitions())
-    return index.select("archive", "offset", "length", "url").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset").mapInPandas(run, RECORD + ", payload binary" * payloads)
+    return index.select("archive", "offset", "length", "url").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset").mapInPandas(run, RECORD + ", payload binary" * payloads).withColumns({c: F.col(c).cast(index.schema["page_id"].dataType) for c in ("page_id", "refers_to")})
 
 
 def payloads(records: DataFrame) -> DataFrame:

@@ -78,6 +78,26 @@ def test_repeated_pages_are_judged_by_their_own_payloads(spark):
     assert got == Counter((i, t, "revisit" if (i, t) in to else "response", to.get((i, t))) for i, _, t in rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_archives_keep_the_contract_on_random_pages(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(12)]), "u", rng.choice([None, "", "a", "b", "é" * 50, "c" * rng.randrange(3)])) for _ in range(80)]
+    read = warc.read_records(warc.write_archives(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)), payloads=True)
+    got = Counter((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"]) for r in warc.payloads(read).collect())
+    last = {}
+    for i, _, t in rows:
+        if i is not None:
+            last[t or ""] = max(i, last.get(t or "", -1))
+    to = lambda i, t: None if last.get(t) in (None, i) else last[t]
+    assert got == Counter((i, t or "", "response" if to(i, t or "") is None else "revisit", to(i, t or "")) for i, _, t in rows)
+
+
+def test_page_ids_of_another_type(spark):
+    pages = spark.createDataFrame([("a b\r\nX: 1", "u", "same"), ("ü", "u", "same"), (None, "u", "x")], "page_id string, url string, html string")
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_records(warc.write_archives(pages)).collect()}
+    assert got == {"a b\r\nX: 1": "ü", "ü": None, None: None}
+
+
 def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.read_records(warc.write_archives(pages, min_bytes=3)).collect()}
@@ -235,6 +255,14 @@ def test_links_of_a_large_label_against_brute_force(spark):
     assert got[1] == len(v) and want >= 12000 and 0.99 * want <= got[0] <= want
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_several_lengths(spark, kind):
+    """Each length links within itself; single components too."""
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0, 0.1], 1), (3, [1.0, 0.0], 1), (4, [3.0, 0.1], 1), (5, [2.0], 1), (6, [5.0], 1), (7, [-5.0], 1), (8, [], 1), (9, None, 1), (10, [1.0, 0.0, 0.0], 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in capfilter.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in capfilter.near_duplicates(df).collect()] == [(1, 0, 1, True)]

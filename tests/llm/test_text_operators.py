@@ -54,14 +54,14 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, passage.upper()), (2, "short item"), (3, None), (4, "...")], "item_id long, text string")
     long = " ".join(f"x{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"{long}, {passage}! end"), (2, passage), (3, f"{long} Short--ITEM {long}"), (4, None), (5, ""), (6, long), (6, long)], "doc_id long, text string").withColumn("n_words", F.lit("clash"))
-    for blocks in (1 << 30, 5):
-        rep = {r["doc_id"]: r for r in decontaminate.report(docs.drop("n_words"), bench).collect()}
+    for blocks in (1 << 30, 20):
+        rep = {r["doc_id"]: r for r in decontaminate.report(docs, bench).collect()}
         assert (rep[1]["n_hit"], rep[1]["n_items"], rep[1]["items_sha256"]) == (12, 1, hashlib.sha256(b"1").hexdigest()) and rep[3]["n_hit"] == 2
-        found = {r["doc_id"]: r["hit_items"] for r in decontaminate.find_contamination(docs.drop("n_words"), bench, block_words=blocks).collect()}
+        found = {r["doc_id"]: r["hit_items"] for r in decontaminate.find_contamination(docs, bench, block_words=blocks, names=("n", "hit_spans", "hit_items")).collect()}
         assert found[1] == ["1"] and found[2] == ["1"] and found[3] == ["2"] and found[6] == []
-    clean = decontaminate.decontaminate(docs.drop("n_words"), bench)
+    clean = decontaminate.decontaminate(docs, bench)
     got = {r["doc_id"]: r["text"] for r in clean.collect()}
-    assert clean.columns == ["doc_id", "text"] and clean.count() == 6
+    assert clean.columns == docs.columns and clean.count() == 6 and all(r["n_words"] == docs.first()["n_words"] for r in clean.collect())
     assert got == {1: f"{long}, ! end", 3: f"{long}  {long}", 4: None, 5: "", 6: long}
 
 
@@ -273,6 +273,23 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_long_conversation_spans_tasks(spark):
+    """One conversation holds most rows, in many tasks; another repeats its first turns, and one all of them."""
+    rows = [(1, i, "user", f"t{i}") for i in range(1500)] + [(2, i, "user", f"t{i}") for i in range(1400)] + [(3, i, "user", f"t{i}") for i in range(1500)] + [(4, i, "user", f"t{i + (i == 700)}") for i in range(1400)] + [(5, 0, None, "x" * 200_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("at", F.lit("clash"))
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
+    assert {k: (r["n_turns"], r["n_copies"]) for k, r in got.items()} == {1: (1500, 2), 4: (1400, 1), 5: (1, 1)}
+    assert got[1]["chat"].count("<|im_end|>") == 1500 and len(got[5]["chat"]) > 200_000
+    assert chat.render(turns).count() == 5
+
+
 # --- language model ---
 
 
