@@ -1,8 +1,8 @@
 """Toxicity by fuzzy look-up of a learnt lexicon, weighed by the words around each find.
 
-The lexicon comes from labelled documents, ``MAX_LABELLED`` at most, chosen by hash: words that toxic documents hold in several different
+The lexicon comes from labelled documents, ``MAX_LABELLED`` at most, chosen by hash, which bounds it: words that toxic documents hold in several different
 surroundings and others hardly ever, and beginnings that several such words share. Levenshtein automata of a document's words run down a trie of the terms, so misspelled terms are
-found with the edits that they need (none for words under five letters, one below nine, else two). A find counts less the more edits it has, and less inside quotation marks
+found with the edits that they need (none for words under five letters, one below nine, else two); terms below the weight ``FUZZY`` are found without edits only. A find counts less the more edits it has, and less inside quotation marks
 or near words of reporting; a logistic curve over the sum of different terms' weights, fitted to the labelled documents, gives the score.
 
 All documents are scored whole. Null and empty texts have no finds and score as such documents do; a sample without both labels leaves
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from procmatch.llm.common import id_remainder, labelled_sample, stored
 
-MAX_LABELLED, MAX_TERMS, THRESHOLD = 20_000, 3000, 0.7
+MAX_LABELLED, THRESHOLD = 20_000, 0.7
 #: Words on each side of a find that are its context, and what quotation or report there leaves of its weight.
 CONTEXT, QUOTED, REPORTED, PER_EDIT = 4, 0.5, 0.7, 0.5
-#: The weight from which on a term is also looked for with edits; weaker ones are as good as their exact form.
+#: The weight (half the log odds) from which on a term is looked for with edits; a weaker one's misspelt forms are closer to innocent words than to it.
 FUZZY = 2.0
 
 #: Letters of the stems that stand for all words which begin with them.
 STEMS = (6, 5, 4)
+#: What the odds of a term lose for each standard error.
+PENALTY = 1.5
 
 # Common English insults, known before any label is seen, and words and marks of reported speech.
 SEEDS = ["clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
@@ -38,7 +40,9 @@ QUOTES = "\"'`«»„“”‘’‹›"
 
 _SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _OTHERS = re.compile(r"[^\w\x00-\x7f]+")
-_PIECE = re.compile(rf"[^\W_]+|[{QUOTES}]")
+# An apostrophe between letters is no quotation mark.
+_PIECE = re.compile(rf"[^\W_]+|(?<![^\W_])['’]|['’](?![^\W_])|[{QUOTES.translate({39: None, 8217: None})}]")
+_OPENING, _CLOSING = "«„“‘‹", "»”›"
 
 
 def words(text: str) -> list[bytes]:
@@ -137,6 +141,26 @@ class Trie:
         return (best[1], best[0]) if best else None
 
 
+def enclosed(pieces: list[str]) -> list[bool]:
+    """Of each piece, whether the nearest mark before it, at most ``CONTEXT`` pieces away, opens a quotation that one as near after it ends.
+
+    Marks that look alike at both ends open if an even number of them came before.
+    """
+    marks, opens, seen = [], [], 0
+    for i, p in enumerate(pieces):
+        if p in QUOTES:
+            marks.append(i)
+            opens.append(p in _OPENING or p not in _CLOSING and seen % 2 == 0)
+            seen = 0 if p in _CLOSING else seen + 1
+    out, k = [False] * len(pieces), 0
+    for i in range(len(pieces)):
+        while k < len(marks) and marks[k] < i:
+            k += 1
+        if 0 < k < len(marks) and marks[k] != i:
+            out[i] = opens[k - 1] and i - marks[k - 1] <= CONTEXT and marks[k] - i <= CONTEXT
+    return out
+
+
 class _Known(dict):
     """What each word (UTF-8) stands for: (term, edits), or None."""
 
@@ -144,7 +168,7 @@ class _Known(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> tuple[str, int] | None:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = self.model.look_up(word.decode())
         return found
@@ -179,13 +203,11 @@ class Model:
         if not names:
             return []
         pieces, out = _PIECE.findall(text.lower()), []
+        quoted = enclosed(pieces)
         for i, p in enumerate(pieces):
             if f := names.get(p):
-                before, after = pieces[max(0, i - CONTEXT) : i], pieces[i + 1 : i + 1 + CONTEXT]
-                left = 1.0
-                if any(x in QUOTES for x in before) and any(x in QUOTES for x in after):
-                    left *= QUOTED
-                if any(x in _REPORTING for x in before):
+                left = QUOTED if quoted[i] else 1.0
+                if any(x in _REPORTING for x in pieces[max(0, i - CONTEXT) : i]):
                     left *= REPORTED
                 out.append((*f, left))
         return out
@@ -242,15 +264,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
     weights = {w: 2.0 for w in SEEDS}
     innocent: set[str] = set()
     if n0 and n1:
-        least = 3 if n1 >= 100 else 2
-        odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-        terms = seen.where((F.col("n1") >= least) & (F.length("word") >= 3)).withColumn("odds", odds - 1 / F.sqrt("n1"))
-        weights |= {r["word"]: min(4.0, r["odds"] / 2) for r in terms.where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "word").limit(MAX_TERMS).collect()}
+        # Few surroundings say little: the odds count less by their standard error, about one over the root of the number.
+        odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1)) - PENALTY / F.sqrt("n1")
+        terms = seen.where((F.col("n1") >= 2) & (F.length("word") >= 3)).withColumn("odds", odds)
+        weights |= {r["word"]: min(4.0, r["odds"] / 2) for r in terms.where("odds > 2.5").select("word", "odds").collect()}
         # Word formation: beginnings that many different words of toxic documents have, and hardly any others.
         cut = F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])
         stems = seen.select(F.explode(F.array_compact(cut)).alias("stem"), "n0", "n1").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n1") > F.col("n0")).alias("forms"))
-        stems = stems.where("n1 >= 4 and forms >= 3").withColumn("odds", odds - 1 / F.sqrt("n1"))
-        weights |= {r["stem"] + "*": min(4.0, r["odds"] / 2) for r in stems.where("odds > 3").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "stem").limit(MAX_TERMS).collect()}
+        stems = stems.where("n1 >= 4 and forms >= 3").withColumn("odds", odds)
+        weights |= {r["stem"] + "*": min(4.0, r["odds"] / 2) for r in stems.where("odds > 3").select("stem", "odds").collect()}
         # Known misspellings' opposite: words near a term that documents without toxicity hold.
         draft = docs.sparkSession.sparkContext.broadcast(Model(weights, set(), PRIOR))
 
@@ -258,7 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if w not in draft.value.weights and len(w) > 3 and draft.value.trie.find(w)], pa.string())], names=["word"])
 
-        innocent = {r["word"] for r in seen.where("n0 >= 1 and n0 >= n1").select("word").mapInArrow(near, "word string").orderBy("word").limit(50 * MAX_TERMS).collect()}
+        innocent = {r["word"] for r in seen.where("n0 >= 1 and n0 >= n1").select("word").mapInArrow(near, "word string").collect()}
+        draft.destroy()
         weights = {w: v for w, v in weights.items() if w not in innocent}
     model = Model(weights, innocent, PRIOR)
     if n0 and n1:
@@ -269,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
                 yield pa.RecordBatch.from_arrays([pa.array([draft.value.evidence(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("label")], names=["evidence", "label"])
 
         rows = texts.mapInArrow(weigh, "evidence double, label int").toPandas()
+        draft.destroy()
         model.curve = fit_curve(rows["evidence"].to_numpy(), rows["label"].to_numpy(float))
     return model
 
@@ -281,6 +305,7 @@ def add_score(docs: DataFrame, model: Model, name: str = "toxicity", text_col: s
         for batch in batches:
             got = pa.array([shared.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, name])
+        shared.value.known.clear()  # the worker lives on
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

@@ -173,6 +173,14 @@ def test_context():
     plain, quoted = m.score("you are a moron and worthless"), m.score('he said "moron" is a "worthless" word')
     assert plain > 0.9 > quoted and m.score("you mor0n") > m.score("you are fine") and m.score("worthles fool") > m.score("")
     assert m.finds("a wrthless thing")[0][:2] == ("worthless", 1)
+    left = lambda text: [f[2] for f in m.finds(text)]
+    assert left("don't be a moron, you can't win") == left('"a" moron "b"') == left("moron's 'x'") == [1.0]
+    assert left("'moron'") == left("«un moron»") == left('a "b" c "moron"') == left("„moron“ sagen") == [toxicity.QUOTED]
+
+
+def test_weak_terms_are_found_without_edits():
+    m = toxicity.Model({"gredlor": 1.0, "moronic": 3.0}, set(), toxicity.PRIOR)
+    assert m.evidence("gredlor") == 1.0 and m.evidence("gredlr") == 0 and m.evidence("moronik") == 1.5
 
 
 @pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\U0001f600", "\uff01", "\u200b", "\u2026", "_", "-"])
