@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import free_name, stored
+from procmatch.llm.common import free_name, slices, stored, tidied
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -179,7 +179,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 n, spans, items = [], [], []
                 for text, was, had in zip(batch.column(at).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
                     ws = words(text)
@@ -190,7 +190,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 new = [pa.array(v, batch.schema.field(width + k).type) for k, v in enumerate((n, spans, items))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], schema=batch.schema)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidied(run), out.schema)
     return out
 
 
@@ -225,13 +225,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     kept = found.where((F.col(n_words) == 0) | (n_hit <= F.col(n_words) * max_coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if not s else without_spans(t, [(x["from"], x["to"]) for x in s if x["to"] - x["from"] > max_span or x["to"] - x["from"] < window]) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             new = [*batch.columns[: len(names)]]
             new[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(new, schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
 
-    return kept.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(tidied(run), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procmatch.llm import align
-from procmatch.llm.common import free_name, join_spread, stored
+from procmatch.llm.common import free_name, join_spread, slices, stored, tidied
 from procmatch.llm.components import connected_components
 
 K, PER_SKETCH, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
@@ -82,10 +82,16 @@ def kmers(hashes: np.ndarray, k: int = K) -> np.ndarray:
 def sketches(grams: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH) -> np.ndarray:
     """A hash for each ordered list of the k-mers with the smallest hashes."""
     n = len(grams)
-    h = (grams ^ _SEEDS[:count, None]) * _SEEDS[count : 2 * count, None]
-    h ^= h >> np.uint64(31)
-    h *= _MIX[0]
-    at = np.sort(np.argpartition(h, per - 1, axis=1)[:, :per], axis=1) if n > per else np.tile(np.arange(n), (count, 1))
+    if n > per:
+        # A few hash functions at a time, so that long texts take no more memory than others.
+        at, step = np.empty((count, per), np.int64), max(1, 100_000 // n)
+        for k in range(0, count, step):
+            h = (grams ^ _SEEDS[k : min(k + step, count), None]) * _SEEDS[count + k : min(count + k + step, 2 * count), None]
+            h ^= h >> np.uint64(31)
+            h *= _MIX[0]
+            at[k : k + step] = np.sort(np.argpartition(h, per - 1, axis=1)[:, :per], axis=1)
+    else:
+        at = np.tile(np.arange(n), (count, 1))
     v = np.arange(count, dtype=np.uint64)
     for g in grams[at].T:
         v = _mixed(v * _MIX[1] + g)
@@ -103,27 +109,25 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, key, n, codes, bands)``: the text's identity, its number of words, 32 bits for each word, its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, np.ndarray] = {}
         with np.errstate(over="ignore"):
-            for whole in batches:
-                for a in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(a, 1000)
-                    keys, sizes, codes, bands = [], [], [], []
-                    for text in batch.column(1).to_pylist():
-                        ws = words(text)
-                        key = xxhash.xxh3_128_hexdigest(b" ".join(ws) if ws else b"\0" + text.encode())
-                        h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
-                        if key not in known:
-                            if len(known) > 20_000:
-                                known.clear()
-                            known[key] = sketches(kmers(h)).view(np.int64).tolist() if ws else []
-                        keys.append(key)
-                        sizes.append(len(ws))
-                        codes.append((h >> np.uint64(32)).astype("<u4").tobytes())
-                        bands.append(known[key])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "codes", "bands"])
-
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, key string, n int, codes binary, bands array<long>")
+            for batch in slices(batches):
+                keys, sizes, codes, bands = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    ws = words(text)
+                    key = xxhash.xxh3_128_hexdigest(b" ".join(ws) if ws else b"\0" + text.encode())
+                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+                    if key not in known:
+                        if len(known) > 20_000:
+                            known.clear()
+                        known[key] = sketches(kmers(h)).view(np.int64) if ws else np.empty(0, np.int64)
+                    keys.append(key)
+                    sizes.append(len(ws))
+                    codes.append((h >> np.uint64(32)).astype("<u4").tobytes())
+                    bands.append(known[key])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "codes", "bands"])
+
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(tidied(run), "id long, key string, n int, codes binary, bands array<long>")
 
 
 def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -134,16 +138,14 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     """The pairs ``(a, b)`` that link; ``texts``: ``(id, n, codes)``, one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sides = [[np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3)]
-                most = allowed(np.array([max(len(a), len(b)) for a, b in zip(*sides, strict=True)]), similarity).tolist()
-                ok = pa.array(align.within(list(zip(*sides, most, strict=True))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+        for batch in slices(batches, 200):
+            sides = [[np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3)]
+            most = allowed(np.array([max(len(a), len(b)) for a, b in zip(*sides, strict=True)]), similarity).tolist()
+            ok = pa.array(align.within(list(zip(*sides, most, strict=True))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     side = lambda x: texts.select(F.col("id").alias(x), F.col("codes").alias(f"codes{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "codesa", "codesb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "codesa", "codesb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _fitting(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
@@ -178,7 +180,7 @@ def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY
     """
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 got = [np.minimum(bag(np.frombuffer(x, "<u4")), FULL).astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "bag"])
 
@@ -211,7 +213,7 @@ def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY
         a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    texts = codes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "codes").mapInArrow(bags, "id long, bag binary")
+    texts = codes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "codes").mapInArrow(tidied(bags), "id long, bag binary")
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
     total = rows.count()
     groups = F.lit(max(1, total // part))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import stored
+from procmatch.llm.common import slices, stored, tidied
 
 CAPACITY = 1024
 #: Pieces that one group packs at once.
@@ -171,7 +171,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, at = _encoder(path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in slices(batches):
             out: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -182,10 +182,10 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True) if out else [()] * len(names), kinds, strict=True)], names=names)
-        encode.forget()  # the worker lives on
+        _encoders.clear()  # the worker lives on, for tasks of other kinds too
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

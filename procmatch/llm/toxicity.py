@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import id_remainder, labelled_sample, stored
+from procmatch.llm.common import free_name, id_remainder, labelled_sample, slices, stored, tidied
 
 MAX_LABELLED, THRESHOLD = 20_000, 0.7
 #: Words on each side of a find that are its context, and what quotation or report there leaves of its weight.
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: dict[tuple[str, int, str], None] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 ws = [w.decode() for w in words(text)]
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], (pa.string(), pa.int32(), pa.string()), strict=True)], names=["word", "label", "around"])
 
     # Copies repeat a word in the same surroundings, so different ones are counted, not documents.
-    around = texts.mapInArrow(run, "word string, label int, around string")
+    around = texts.mapInArrow(tidied(run), "word string, label int, around string")
     seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.1).alias(f"n{y}") for y in (0, 1)])
     seen = stored(seen, "toxic-words")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if w not in draft.value.weights and len(w) > 3 and draft.value.trie.find(w)], pa.string())], names=["word"])
 
-        innocent = {r["word"] for r in seen.where("n0 >= 1 and n0 >= n1").select("word").mapInArrow(near, "word string").collect()}
+        innocent = {r["word"] for r in seen.where("n0 >= 1 and n0 >= n1").select("word").mapInArrow(tidied(near), "word string").collect()}
         draft.destroy()
         weights = {w: v for w, v in weights.items() if w not in innocent}
     model = Model(weights, innocent, PRIOR)
@@ -288,10 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = M
         draft = docs.sparkSession.sparkContext.broadcast(model)
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([draft.value.evidence(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("label")], names=["evidence", "label"])
 
-        rows = texts.mapInArrow(weigh, "evidence double, label int").toPandas()
+        rows = texts.mapInArrow(tidied(weigh), "evidence double, label int").toPandas()
         draft.destroy()
         model.curve = fit_curve(rows["evidence"].to_numpy(), rows["label"].to_numpy(float))
     return model
@@ -302,14 +302,14 @@ def add_score(docs: DataFrame, model: Model, name: str = "toxicity", text_col: s
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = pa.array([shared.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, name])
         shared.value.known.clear()  # the worker lives on
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -319,7 +319,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("toxicity", docs.columns)
     return add_score(docs, model, name).where(F.col(name) < threshold).drop(name)
