@@ -8,14 +8,17 @@ entities get equal surrogates in all documents (coreference).
   country code and a card's first digit and check digit's validity stay.
 * E-mail addresses, IBANs and secrets keep their shape: letters become letters of the same case, digits digits, hex hex; a domain maps as a
   whole and keeps its top-level part.
-* Names keep their title, which gives the gender; given names come from lists for the gender and script, family names are
-  built from syllables of the script; words map one by one, so "Mr John Smith" and "Mr Smith" keep their common part.
+* Names keep their title, which gives the gender (some titles give none); names are built from syllables of the script, given names with an ending of
+  the gender; words map one by one, so "Mr John Smith" and "Mr Smith" keep their common part. Latin, Cyrillic and Greek have syllables of
+  their own; other scripts with capital letters get Latin ones. Where a text names somebody in full, its further mentions of the full name without a
+  title are replaced too; single words without a title are not.
 
-The hashed surrogates are checked over the whole table: if two entities share one, or one equals another entity of the table, all but the smallest take
-the next of a keyed series, until none meet. Such exceptions are joined to their texts; usually there are none.
+The hashed surrogates are checked over the whole table, names as wholes: if two entities share one, or one equals another entity of the table, all but the smallest take
+the next of a keyed series, until none meet. The series gets longer words as it goes on, so it ends however many entities there are. Such exceptions are joined to
+their texts; usually there are few.
 
 Null texts stay null; empty texts and texts without finds stay as they are; texts of any length are read whole; repeated rows get the same
-result; extra columns stay; an empty table gives no rows.
+result; extra columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,26 +26,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import stored
+from procmatch.llm.common import free_name, stored
 
-TRIES = 16
+#: Members of a series before its words get longer.
+GROWS = 4
 KINDS = ("secret", "email", "iban", "ip", "phone", "card", "name")
 
-# Titles by gender, given names by gender and script, syllables by script.
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Sra", "Señora", "Señorita", "Госпожа", "госпожа"]
-MALE_TITLES = ["Mr", "Mister", "Monsieur", "Herr", "Herrn", "Sr", "Señor", "Господин", "господин"]
-GIVEN = {
-    ("female", "latin"): ["Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hanna", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olivia", "Paula"],
-    ("male", "latin"): ["Adam", "Bruno", "Carlo", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Karl", "Lukas", "Martin", "Noah", "Oskar", "Paul"],
-    ("female", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Рита", "Софья"],
-    ("male", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён"],
+# Titles by gender, endings of given names by gender and script, syllables by script.
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Sra", "Señora", "Señorita", "Госпожа", "госпожа", "Κυρία", "κυρία"]
+MALE_TITLES = ["Mr", "Mister", "Monsieur", "Herr", "Herrn", "Sr", "Señor", "Господин", "господин", "Κύριος", "κύριος"]
+OTHER_TITLES = ["Dr", "Doctor", "Prof", "Professor", "Доктор", "доктор"]
+ENDINGS = {
+    ("female", "latin"): ["a", "ia", "ina", "ella"],
+    ("male", "latin"): ["o", "us", "an", "or"],
+    ("female", "cyrillic"): ["а", "ия", "ина", "елла"],
+    ("male", "cyrillic"): ["ан", "ор", "ий", "ин"],
+    ("female", "greek"): ["α", "ια", "ινα", "ελλα"],
+    ("male", "greek"): ["ος", "ης", "ων", "ας"],
 }
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "bran", "stel"],
     "cyrillic": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "жо", "бран", "стел"],
+    "greek": ["βα", "δε", "φι", "γο", "κυ", "λα", "με", "νι", "πο", "ρυ", "σα", "τε", "θι", "ξο", "βραν", "στελ"],
 }
 
-_TITLE = "|".join([*FEMALE_TITLES, *MALE_TITLES])
+_TITLE = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _NAME_WORD = r"\p{Lu}[\p{L}'’\-]{1,30}+"
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9\-_]{16,128}|(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{6,256}[\"']?)",
@@ -56,7 +64,8 @@ PATTERNS = {
 # No find begins inside a word, so within words one look back is all that is done.
 _ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
 #: Every find holds one of these characters or words; most texts that hold none are not searched.
-_SIGNS, _WORDS = "[0-9@=:_]", ["AKIA", "sk-", "Mr", "Ms", "Miss", "Mister", "Mme", "Mada", "Mlle", "Monsi", "Herr", "Frau", "Sr", "Seño", "оспо"]
+_SIGNS, _WORDS = "[0-9@=:_]", ["AKIA", "sk-", "Mr", "Ms", "Miss", "Mister", "Mme", "Mada", "Mlle", "Monsi", "Herr", "Frau", "Sr", "Seño", "оспо", "Dr", "Doctor", "Prof", "октор", "υρί", "ύριος"]
+_FULL_NAME = rf"^(?:{_TITLE})\.?[ \u00A0]{_NAME_WORD} "
 #: Stands around finds; texts that hold it themselves are cut another way.
 _MARK = "\u0001"
 
@@ -156,7 +165,8 @@ def _email(e: Column, key: str, salt: Column) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     top = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(_let(_hash(key, "email", F.lower(e), salt), lambda h: _shaped(local, h)), F.lit("@"), _let(_hash(key, "domain", F.lower(domain), F.lit(0)), lambda h: _shaped(name, h)), F.lit("."), top)
+    more = lambda h: F.translate(F.substring(h, F.lit(100), F.when(salt >= GROWS, salt - (GROWS - 1)).otherwise(0)), "0123456789", "ghijklmnop")
+    return F.concat(_let(_hash(key, "email", F.lower(e), salt), lambda h: F.concat(_shaped(local, h), more(h))), F.lit("@"), _let(_hash(key, "domain", F.lower(domain), F.lit(0)), lambda h: _shaped(name, h)), F.lit("."), top)
 
 
 def _secret(e: Column, key: str, salt: Column) -> Column:
@@ -170,25 +180,32 @@ def _iban(e: Column, key: str, salt: Column) -> Column:
     return F.concat(F.substring(e, 1, 2), _let(_hash(key, "iban", plain, salt), lambda h: _shaped(F.substring(e, F.lit(3), F.length(e)), h)))
 
 
-def _draw(values: list[str], h: Column, at: int) -> Column:
-    return F.array(*[F.lit(v) for v in values])[F.conv(F.substring(h, at, 4), 16, 10).cast("int") % len(values)]
+def _draw(values: list[str], h: Column, at: Column) -> Column:
+    return F.array(*[F.lit(v) for v in values])[F.conv(F.substring(h, at, F.lit(4)), 16, 10).cast("int") % len(values)]
 
 
-def _family(h: Column, script: str) -> Column:
-    return F.initcap(F.concat(*[_draw(SYLLABLES[script], h, 5 + 4 * i) for i in range(4)]))
+def _syllables(h: Column, script: str, n: Column) -> Column:
+    """``n`` syllables of the script, 25 at most, one for every four digits of the hash from the fifth on."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(25))), lambda i: _draw(SYLLABLES[script], h, 4 * i + 1)), "")
 
 
 def _name(e: Column, key: str, salt: Column) -> Column:
     title = F.regexp_extract(e, rf"^(?:{_TITLE})\.?[ \u00A0]", 0)
-    female = F.regexp_replace(title, r"[. \u00A0]", "").isin(FEMALE_TITLES)
+    bare = F.regexp_replace(title, r"[. \u00A0]", "")
 
     def words(ws: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
+            last = i == F.size(ws) - 1
+
             def drawn(h: Column) -> Column:
-                by_script = lambda script: F.when(i == F.size(ws) - 1, _family(h, script)).when(female, _draw(GIVEN["female", script], h, 1)).otherwise(_draw(GIVEN["male", script], h, 1))
-                return F.when(w.rlike(r"\p{IsCyrillic}"), by_script("cyrillic")).otherwise(by_script("latin"))
+                def of(script: str) -> Column:
+                    ending = lambda gender: _draw(ENDINGS[gender, script], h, F.lit(1))
+                    given = F.concat(_syllables(h, script, F.lit(3)), F.when(bare.isin(FEMALE_TITLES), ending("female")).when(bare.isin(MALE_TITLES), ending("male")).otherwise(""))
+                    return F.initcap(F.when(last, _syllables(h, script, 4 + F.floor(salt / GROWS).cast("int"))).otherwise(given))
+
+                return F.when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(w.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
-            return _let(_hash(key, "name", F.lower(w), F.when(i == F.size(ws) - 1, salt).otherwise(F.lit(0))), drawn)
+            return _let(_hash(key, "name", F.lower(w), F.when(last, salt).otherwise(F.lit(0))), drawn)
 
         return F.array_join(F.transform(ws, one), " ")
 
@@ -207,9 +224,9 @@ def canonical(e: Column, kind: Column | None = None) -> Column:
     """An entity without the layout that its surrogate leaves alone: what two finds have in common if they are the same."""
     if kind is None:
         return _let(kind_of(e), lambda k: canonical(e, k))
-    family = F.lower(F.regexp_extract(e, r"([^ \u00A0]+)$", 1))
+    name = F.lower(F.regexp_replace(e, rf"^(?:{_TITLE})\.?[ \u00A0]", ""))
     value = F.regexp_replace(e, r"^(?:(?i:[a-z_\-]+)\s*[=:]\s*)|[\"']", "")
-    return F.when(kind == "email", F.lower(e)).when(kind == "name", family).when(kind == "secret", value).otherwise(F.regexp_replace(e, r"[ ().\-]", ""))
+    return F.when(kind == "email", F.lower(e)).when(kind == "name", name).when(kind == "secret", value).otherwise(F.regexp_replace(e, r"[ ().\-]", ""))
 
 
 def surrogate(e: Column, key: str, salt: Column) -> Column:
@@ -257,42 +274,48 @@ def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     all_ = stored(entities(docs, text_col).distinct().withColumns({"kind": kind, "canon": canonical(F.col("entity"))}), "entities")
     hashed = all_.where(F.col("kind").isin("email", "secret", "iban", "name"))
     now = stored(hashed.withColumn("salt", F.lit(0)).withColumn("new", _let(surrogate(F.col("entity"), key, F.lit(0)), canonical)), "surrogates")
-    for _ in range(TRIES):
-        # Family names are one word of a whole; all other surrogates are compared whole.
+    while True:
         meets = now.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count_distinct("canon").alias("n")).where("n > 1")
         real = now.select("kind", "new").distinct().join(all_.select("kind", F.col("canon").alias("new")).distinct(), ["kind", "new"], "left_semi").select("kind", "new", F.lit("").alias("first"), F.lit(2).cast("long").alias("n"))
         bad = stored(meets.unionByName(real).groupBy("kind", "new").agg(F.min("first").alias("first")), "meets")
         if not bad.take(1):
-            break
+            return stored(now.where("salt > 0").select("entity", "salt"), "salted")
         marked = now.join(bad, ["kind", "new"], "left")
         again = F.col("first").isNotNull() & (F.col("canon") != F.col("first"))
         salt = F.when(again, F.col("salt") + 1).otherwise(F.col("salt"))
-        now = stored(marked.select("entity", "kind", "canon", salt.alias("salt"), F.when(again, _let(surrogate(F.col("entity"), key, F.col("salt") + 1), canonical)).otherwise(F.col("new")).alias("new")), "surrogates")
-    else:
-        raise RuntimeError("surrogates still meet")
-    return stored(now.where("salt > 0").select("entity", "salt"), "salted")
+        # Another name for the next salt: inside a lambda, ``salt`` would be taken for this new column.
+        now = stored(marked.select("entity", "kind", "canon", salt.alias("next"), F.when(again, _let(surrogate(F.col("entity"), key, F.col("salt") + 1), canonical)).otherwise(F.col("new")).alias("new")).withColumnRenamed("next", "salt"), "surrogates")
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text; ``count_col``: also the number of finds."""
     salted = collisions(docs, key, text_col)
     text = F.col(text_col)
+    mark, of, salts_of, result = (free_name(n, docs.columns) for n in ("text_hash", "text_of", "salts_of", "result"))
     if not salted.take(1):
         salts, base = None, docs
     else:
         # Texts that hold an exception get its salt by the text's own hash.
         name = F.sha2(text.cast("binary"), 256)
-        per_text = docs.select(name.alias("_text"), F.explode(F.array_distinct(finds(text))).alias("entity")).distinct().join(salted, "entity").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("entity", "salt"))).alias("_salts"))
-        base = docs.withColumn("_of", name).join(per_text, F.col("_of") == F.col("_text"), "left")
-        salts = F.col("_salts")
+        per_text = docs.select(name.alias(mark), F.explode(F.array_distinct(finds(text))).alias("entity")).distinct().join(salted, "entity").groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("entity", "salt"))).alias(salts_of))
+        base = docs.withColumn(of, name).join(per_text, F.col(of) == F.col(mark), "left")
+        salts = F.col(salts_of)
 
     def rebuilt(s: Column) -> Column:
         salt = lambda e: F.lit(0) if salts is None else F.coalesce(s["salts"][e], F.lit(0))
-        return F.array_join(F.transform(s["parts"], lambda p, i: F.when(i % 2 == 1, surrogate(p, key, salt(p))).otherwise(p)), "")
+        changed = F.transform(s["parts"], lambda p, i: F.when(i % 2 == 1, surrogate(p, key, salt(p))).otherwise(p))
+        # Full names after a title, with what replaces them; the longest first, so that no name goes in part.
+        full = F.filter(F.array_distinct(F.filter(s["parts"], lambda p, i: i % 2 == 1)), lambda e: e.rlike(_FULL_NAME))
+        bare = lambda e: F.regexp_replace(e, rf"^(?:{_TITLE})\.?[ \u00A0]", "")
+        pairs = F.transform(full, lambda e: F.struct((-F.length(bare(e))).alias("n"), bare(e).alias("old"), bare(surrogate(e, key, salt(e))).alias("new")))
+        again = lambda p: F.aggregate(F.array_sort(pairs), p, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’\-])\Q"), x["old"], F.lit(r"\E(?!-?\p{L})")), x["new"]))
+        once = F.array_join(changed, "")
+        twice = _let(F.struct(changed.alias("c")), lambda x: F.array_join(F.transform(x["c"], lambda p, i: F.when(i % 2 == 1, p).otherwise(again(p))), ""))
+        return F.when(F.exists(s["parts"], lambda p: p.rlike(_FULL_NAME) & (F.length(p) < 200)), twice).otherwise(once)
 
     fields = [parts(text).alias("parts"), *([] if salts is None else [salts.alias("salts")])]
     n = lambda s: F.floor(F.size(s["parts"]) / 2).cast("int")
     done = _let(F.struct(*fields), lambda s: F.struct(F.when(n(s) > 0, rebuilt(s)).otherwise(s["parts"][0]).alias("text"), n(s).alias("n")))
-    out = base.withColumn("_done", F.when(text.isNotNull(), done))
-    columns = [F.col("_done")["text"].alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, *([F.coalesce(F.col("_done")["n"], F.lit(0)).alias(count_col)] if count_col else []))
+    out = base.withColumn(result, F.when(text.isNotNull(), done))
+    columns = [F.col(result)["text"].alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    return out.select(*columns, *([F.coalesce(F.col(result)["n"], F.lit(0)).alias(count_col)] if count_col else []))
