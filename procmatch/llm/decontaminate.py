@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,17 +167,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """``docs`` with three more columns under ``names``: the number of words, hit spans (word positions [from, to)) and items (sorted as strings)."""
     if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
         raise ValueError(f"choose other names than {names}: the documents have such columns")
+    return _matched(docs, benchmark, window, text_col, block_words, names)
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int, names: tuple[str, str, str], finish: Callable[[pa.RecordBatch, list, list], pa.RecordBatch] | None = None) -> DataFrame:
+    """``find_contamination``; or, with ``finish``, what it makes of the batches of documents and their words' numbers and hit spans, in the tasks that read the last block."""
     at, width = docs.columns.index(text_col), len(docs.columns)
     none = F.expr(f"cast(array() as {SPANS})"), F.expr(f"cast(array() as {FOUND})")
     out = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), *none), strict=True)))
-    former = None
-    for block in blocks(benchmark, block_words):
+    former, todo = None, blocks(benchmark, block_words)
+    block = next(todo)
+    while block is not None:
+        following = next(todo, None)
+        last = following is None and finish is not None
         if former is not None:
             out = stored(out, "contamination")
             former.destroy()
         shared = former = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in slices(batches):
                 n, spans, items = [], [], []
@@ -187,10 +195,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     n.append(len(ws))
                     spans.append([{"from": a, "to": b} for a, b in merged([*s, *((x["from"], x["to"]) for x in was)])])
                     items.append(sorted(i.union(had)))
+                if last:
+                    yield finish(batch.select(list(range(width))), n, spans)
+                    continue
                 new = [pa.array(v, batch.schema.field(width + k).type) for k, v in enumerate((n, spans, items))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], schema=batch.schema)
 
-        out = out.mapInArrow(tidied(run), out.schema)
+        out = out.mapInArrow(tidied(run), docs.schema if last else out.schema)
+        block = following
     return out
 
 
@@ -218,20 +230,16 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without benchmark text: documents with more than ``max_coverage`` of their words hit go, and of the others the
     hit spans of over ``max_span`` words, and all of those that a whole short item makes."""
-    names, at = docs.columns, docs.columns.index(text_col)
-    n_words, spans, items = (free_name(n, names) for n in ("n_words", "hit_spans", "hit_items"))
-    found = find_contamination(docs, benchmark, window, text_col, names=(n_words, spans, items))
-    n_hit = F.aggregate(spans, F.lit(0), lambda n, s: n + s["to"] - s["from"])
-    kept = found.where((F.col(n_words) == 0) | (n_hit <= F.col(n_words) * max_coverage))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [t if not s else without_spans(t, [(x["from"], x["to"]) for x in s if x["to"] - x["from"] > max_span or x["to"] - x["from"] < window]) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
-            new = [*batch.columns[: len(names)]]
-            new[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(new, schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
-
-    return kept.mapInArrow(tidied(run), docs.schema)
+    at = docs.columns.index(text_col)
+
+    def cut(batch: pa.RecordBatch, n_words: list[int], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+        hit = [sum(x["to"] - x["from"] for x in s) for s in spans]
+        kept = pa.array([not n or h <= n * max_coverage for n, h in zip(n_words, hit, strict=True)])
+        texts = [t if not s else without_spans(t, [(x["from"], x["to"]) for x in s if x["to"] - x["from"] > max_span or x["to"] - x["from"] < window]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+        new = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(new, schema=batch.schema).filter(kept)
+
+    return _matched(docs, benchmark, window, text_col, BLOCK_WORDS, tuple(free_name(n, docs.columns) for n in ("n_words", "hit_spans", "hit_items")), cut)
 
 
 def items_digest(items: list[str]) -> str:

@@ -33,7 +33,7 @@ CAPACITY = 1024
 #: Pieces that one group packs at once.
 GROUP = 50_000
 #: Bytes of chunks and ids that a worker remembers within a task; beyond that it starts anew, which costs time but changes nothing.
-REMEMBERED = 96 << 20
+REMEMBERED = 48 << 20
 #: New chunks that are tokenized at once.
 TOGETHER = 20_000
 
@@ -69,9 +69,8 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.size = 0
         # Cutting at spaces rests on a byte-level pre-tokenizer by pattern, without any normalizer; others get whole texts.
-        made = json.loads(self.tokenizer.to_str())
-        before = made.get("pre_tokenizer") or {}
-        self.cuts = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        before = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.cuts = self.tokenizer.normalizer is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.together = self._tokenizers
         ranks = self._ranks({t: i for t, i in vocabulary.items() if t not in self.special})
         if ranks:
