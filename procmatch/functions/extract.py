@@ -105,10 +105,16 @@ def extract_requirements(docs: DataFrame, doc: str = "doc_id", text: str = "text
     t = blank(F.col(text))
     full = F.regexp_replace(t, r"\s", "") != ""
     none = F.array().cast("array<string>")
+    own, key, found = (next(n for n in (f"{name}{'_' * i}" for i in range(99)) if n not in docs.columns) for name in ("extracted", "keyed", "words"))
     rows = docs.select(
         "*",
-        F.when(full, product(t)).otherwise(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("category"))).alias("_product"),
-        technical_attributes(t).alias("_attributes"), is_mentions(t).alias("_mentions"), safety_clauses(t).alias("_safety"), installation_clauses(t).alias("_installation"),
-    ).join(keywords_of(docs, doc, text), doc, "left")
-    struct = F.struct(F.col("_product").alias("product"), F.col("_attributes").alias("technical_requirements"), F.col("_mentions").alias("standards_mentions"), F.col("_safety").alias("safety_requirements"), F.col("_installation").alias("installation_requirements"), F.coalesce("keywords", none).alias("keywords"), t.alias("raw_text"))
-    return rows.select(*[F.col(c) for c in docs.columns], struct.alias("requirements"))
+        F.struct(
+            F.when(full, product(t)).otherwise(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("category"))).alias("product"),
+            technical_attributes(t).alias("technical_requirements"), is_mentions(t).alias("standards_mentions"), safety_clauses(t).alias("safety_requirements"),
+            installation_clauses(t).alias("installation_requirements"), t.alias("raw_text"),
+        ).alias(own),
+    )
+    words = keywords_of(docs.select(doc, text), doc, text).select(F.col(doc).alias(key), F.col("keywords").alias(found))
+    fields = ["product", "technical_requirements", "standards_mentions", "safety_requirements", "installation_requirements"]
+    struct = F.struct(*[F.col(own)[f].alias(f) for f in fields], F.coalesce(found, none).alias("keywords"), F.col(own)["raw_text"].alias("raw_text"))
+    return rows.join(words, F.col(doc) == F.col(key), "left").select(*[F.col(c) for c in docs.columns if c != "requirements"], struct.alias("requirements"))

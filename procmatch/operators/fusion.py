@@ -34,16 +34,17 @@ def min_max_sparse(scores: DataFrame, n_docs: DataFrame, score: str = "score", n
     return scores.join(limits, "query_id").withColumn(name, scaled(F.col(score), low, F.greatest("_high", low))).drop("_low", "_high", "_found", "_n")
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, n_docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def fuse(lexical: DataFrame, semantic: DataFrame | None, n_docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Candidates ``(query_id, doc_id, bm25_raw, bm25_norm, semantic_raw, semantic_norm, relevance_score)`` of either side.
 
     Each side is scaled over all documents of a query; a document that one side lacks has 0 there. Outputs are
     rounded to 4 places, fusion takes what isn't rounded. Both sides lie by the same keys, so the join adds no shuffle to the sums'.
+    Without a semantic side there is no join.
     """
     lex = min_max_sparse(lexical, n_docs).select("query_id", "doc_id", F.col("score").alias("b"), F.col("norm").alias("bn"))
-    sem = min_max_sparse(semantic, n_docs).select("query_id", "doc_id", F.col("score").alias("s"), F.col("norm").alias("sn"))
+    sem = None if semantic is None else min_max_sparse(semantic, n_docs).select("query_id", "doc_id", F.col("score").alias("s"), F.col("norm").alias("sn"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    both = lex.join(sem, ["query_id", "doc_id"], "full_outer")
+    both = lex.withColumns({"s": F.lit(0.0), "sn": F.lit(0.0)}) if sem is None else lex.join(sem, ["query_id", "doc_id"], "full_outer")
     r4 = lambda c: F.round(c, 4)
     return both.select("query_id", "doc_id", r4(zero("b")).alias("bm25_raw"), r4(zero("bn")).alias("bm25_norm"), r4(zero("s")).alias("semantic_raw"), r4(zero("sn")).alias("semantic_norm"), r4(alpha * zero("sn") + (1 - alpha) * zero("bn")).alias("relevance_score"))
 
@@ -73,10 +74,17 @@ def pair_scores(pairs: DataFrame, scorer: Callable[[], Callable[[list[str], list
     return pairs.withColumn(name, run(F.col(query), F.col(text)))
 
 
-def with_pool(candidates: DataFrame, pool: int = POOL, order: str = "doc_id") -> DataFrame:
-    """``hybrid_rank`` by relevance, and whether the row is in the pool."""
+def with_pool(candidates: DataFrame, pool: int = POOL, order: str = "doc_id", k: int | None = None) -> DataFrame:
+    """``hybrid_rank`` by relevance, and whether the row is in the pool.
+
+    With ``k`` only rows that can come among the k best are kept: the pool and the k next, since reranking moves no others. Spark
+    drops the rest of a query's rows in each task before it shuffles them.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), order)
-    return candidates.withColumn("hybrid_rank", F.row_number().over(w)).withColumn("in_pool", F.col("hybrid_rank") <= pool)
+    ranked = candidates.withColumn("hybrid_rank", F.row_number().over(w))
+    if k is not None:
+        ranked = ranked.where(F.col("hybrid_rank") <= pool + max(1, k))
+    return ranked.withColumn("in_pool", F.col("hybrid_rank") <= pool)
 
 
 def rerank(candidates: DataFrame, raw: DataFrame | None, beta: float = BETA) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procmatch.functions import querytext
 from procmatch.functions.extract import extract_requirements
 from procmatch.functions.text import candidate_text, document_text, expand_query, tokenize
+from procmatch.sources.shared import stored
 from procmatch.operators import certify, dense, evidence, fusion, gaps, lexical, network, report, versions
 
 
@@ -69,12 +70,13 @@ def enrich(ranked: DataFrame, catalog: Catalog, query: str = "query") -> DataFra
 def candidates(requests: DataFrame, catalog: Catalog, keyword_query: str = "keyword_query", alpha: float = fusion.ALPHA, block: int = dense.BLOCK) -> DataFrame:
     """All candidates of all requests, fused. ``requests``: ``(query_id, keyword_query[, embedding])``."""
     asked = requests.select("query_id", tokenize(F.col(keyword_query)).alias("tokens"))
-    lex = lexical.score(catalog.index, asked)
+    # Its limits and its rows are both wanted.
+    lex = stored(lexical.score(catalog.index, asked), "lexical")
     n = catalog.index.stats.select("n")
     if catalog.vectors is None or "embedding" not in requests.columns:
-        sem = lex.select("query_id", "doc_id", F.lit(0.0).alias("score")).where("false")
+        sem = None
     else:
-        sem = dense.score_all(requests, catalog.vectors, block=block)
+        sem = stored(dense.score_all(requests, catalog.vectors, block=block), "semantic")
     return fusion.fuse(lex, sem, n, alpha)
 
 
@@ -84,14 +86,19 @@ def recommend(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, po
     Lexical search takes the query with dictionary words added (or ``keyword_query``), vectors and the pair scorer take the plain one.
     """
     asked = requests.withColumn("keyword_query", expand_query(F.col("query")) if keyword_query is None else F.col(keyword_query))
-    fused = fusion.with_pool(candidates(asked, catalog), pool)
-    raw = None
-    if scorer is not None:
+    fused, raw = candidates(asked, catalog), None
+    if scorer is None:
+        # The k best by the same order are all that is needed.
+        ranked = fusion.final_top_k(fusion.rerank(fused, None, beta), k, [F.desc("relevance_score"), "doc_id"])
+        ranked = ranked.withColumn("hybrid_rank", F.col("rank")).withColumn("in_pool", F.col("rank") <= pool)
+    else:
+        fused = stored(fusion.with_pool(fused, pool, k=k), "pool")
         texts = catalog.records.select(F.col("id").alias("doc_id"), candidate_text().alias("candidate_text"))
         full = requests.where(F.trim(semantic_query) != "").select("query_id", F.col(semantic_query).alias("query"))
         raw = fusion.pair_scores(fused.where("in_pool").select("query_id", "doc_id").join(full, "query_id").join(texts, "doc_id"), scorer)
-    ranked = fusion.final_top_k(fusion.rerank(fused, raw, beta), k)
-    return enrich(ranked.join(asked.select("query_id", "query"), "query_id"), catalog)
+        ranked = fusion.final_top_k(fusion.rerank(fused, raw, beta), k)
+    # k rows a query, used by each part of what follows.
+    return enrich(stored(ranked.join(asked.select("query_id", "query"), "query_id"), "ranked"), catalog)
 
 
 def recommend_from_requirements(documents: DataFrame, catalog: Catalog, k: int = 5, scorer=None) -> DataFrame:
@@ -128,10 +135,14 @@ def certification_of(ranked: DataFrame, requests: DataFrame, rules: DataFrame) -
     return summary.select(F.col("request_id").alias("query_id"), F.struct("total_rules_matched", "has_candidate_requirements").alias("certification"))
 
 
-def reports(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, day: Column | None = None) -> DataFrame:
-    """A report row for each request ``(query_id, query, requirements[, embedding])``."""
-    ranked = recommend(requests, catalog, k, scorer)
+def reports(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, day: Column | None = None, by_requirements: bool = False) -> DataFrame:
+    """A report row for each request ``(query_id, query, requirements[, embedding])``.
+
+    ``by_requirements``: records are searched by queries built from the requirements, as for requests in document form, else by the plain query.
+    """
+    ranked = stored((recommend_from_requirements if by_requirements else recommend)(requests, catalog, k, scorer=scorer), "enriched")
     covered, summary = gap_report(requests, ranked)
     fields = ["rank", "doc_id", "matched_keywords", "matched_technical_requirements", "provenance_sources", "why_relevant", "version_note", "certification_note"]
-    told = evidence.package(explained(ranked), fields)
+    stated = ranked.join(requests.select("query_id", F.col("requirements.technical_requirements").alias("stated")), "query_id")
+    told = evidence.package(explained(stated, F.coalesce("stated", F.array().cast(requests.schema["requirements"].dataType["technical_requirements"].dataType))), fields)
     return report.assemble(requests, ranked, told, certification_of(ranked, requests, catalog.rules), summary, covered, day)

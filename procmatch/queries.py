@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from procmatch.functions import extract, querytext, text
 from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, lexical, network, report, sync, versions
 from procmatch.plans import pipelines
-from procmatch.sources import corpus, sinks
+from procmatch.sources import corpus, shared, sinks
 from procmatch.streaming import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -684,7 +684,7 @@ def gap_requests(spark, sf):
     """For each supplier's part the last specification text written for it."""
     last = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.max(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("spec"))
     rows = requests(spark, sf).join(last, F.col("query_id") == F.col("part")).select("query_id", "query", "spec")
-    texts = specs(spark, sf).groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("spec")).agg(F.max("text").alias("text"))
+    texts = specs(spark, sf).withColumn("spec", F.col("l_orderkey") * 100 + F.col("l_linenumber")).join(rows.select("spec"), "spec", "left_semi").groupBy("spec").agg(F.max("text").alias("text"))
     return extract.extract_requirements(rows.join(texts, "spec").drop("spec"), "query_id").drop("text")
 
 
@@ -951,14 +951,7 @@ def relevance_judgements(spark, sf):
 @query()
 def stream_enrich(spark, sf):
     """The documents as a stream, to the end; what it appended is read back. The tests compare it with the batch form."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='procmatch-')}"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared.new_path(spark, "stream")
     docs = table(spark, sf, "documents")
     source = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")  # a pattern: the table may be one file
     got = enrich.enrich_documents(source)
