@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procmatch.sources.shared import stored
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows (query, term) that are broadcast, some 50 bytes each; postings of a term that meet more queries than that at once.
+BROADCAST, PART = 500_000, 100_000
 
 
 @dataclass
@@ -56,17 +60,28 @@ def query_terms(queries: DataFrame, query: str = "query_id", tokens: str = "toke
     return queries.select(F.col(query).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", tokens: str = "tokens", k1: float = K1, b: float = B) -> DataFrame:
+def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", tokens: str = "tokens", k1: float = K1, b: float = B, most: int = BROADCAST, part: int = PART) -> DataFrame:
     """``(query_id, doc_id, score)`` of the documents that hold a term of the query; of all others the score is 0.
 
-    A term that a query repeats counts as often. The weight of a term in a document is computed once, before
-    queries multiply it.
+    A term that a query repeats counts as often. Up to ``most`` query terms are broadcast to postings that lie by document, so that pairs are
+    summed where they arise and only postings are shuffled, however frequent a term is. Beyond that queries and postings meet by term, a frequent
+    term's ``part`` postings at a time.
     """
-    wanted = query_terms(queries, query, tokens)
-    used = wanted.select("term").distinct()
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
-    hits = index.postings.join(used, "term", "left_semi").join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))
-    return hits.select("term", "doc_id", weight.alias("w")).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    spark = queries.sparkSession
+    weighed = query_terms(queries, query, tokens).join(index.terms, "term").select("term", "df", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"))
+    wanted = stored(weighed, "query-terms")
+    used = wanted.select("term", F.ceil(F.col("df") / part).cast("int").alias("parts")).distinct()
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
+    hits = index.postings.join(F.broadcast(index.stats.select("avgdl"))).select("term", "doc_id", share.alias("share"))
+    if wanted.count() <= most:
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        near = hits.join(F.broadcast(used), "term", "left_semi").repartition(tasks, "doc_id")
+        pairs = near.join(F.broadcast(wanted.select("term", "query_id", "weight")), "term")
+    else:
+        asked = wanted.join(used, "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("term", "part", "query_id", "weight")
+        near = hits.join(used, "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+        pairs = near.join(asked, ["term", "part"])
+    return pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
 
 
 def dense_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:

@@ -89,7 +89,7 @@ def specs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(CATALOG_SQL.replace("{list}", "array").replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    rows = spark.sql(CATALOG_SQL.replace("{list}", "array").replace("FROM part", "FROM {part}"), part=spread(table(spark, sf, "part")))
     none = F.array().cast("array<string>")
     return rows.withColumns({"amendments": none, "related_standards": none, "source_url": F.lit(None).cast("string")})
 

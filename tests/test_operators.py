@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from procmatch.operators import certify, dense, evaluate, fusion, gaps, network, sync, versions
+from procmatch.operators import certify, dense, evaluate, fusion, gaps, lexical, network, sync, versions
 from procmatch.sources import corpus, sinks
 
 
@@ -20,6 +20,21 @@ def test_min_max(spark):
     assert sparse["q", 0] == 0.2 and sparse["flat", 1] == 1.0 and sparse["zero", 1] == 0.0
 
 
+def test_lexical_scores_by_broadcast_and_by_term(spark):
+    docs = [(f"d{i}", ["is", "mm", *(["pipe"] * (i % 3)), f"w{i % 7}"]) for i in range(50)] + [("empty", []), ("none", None)]
+    asked = [("q1", ["is", "pipe", "pipe", "w3"]), ("q2", ["mm", "unknown"]), ("q3", []), ("q4", ["unknown"])]
+    index = lexical.build_index(spark.createDataFrame(docs, "doc_id string, tokens array<string>"))
+    queries = spark.createDataFrame(asked, "query_id string, tokens array<string>")
+    one, other = ({(q, d): s for q, d, s in rows(lexical.score(index, queries, **how))} for how in ({}, {"most": 0, "part": 8}))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+    stats, idf = index.stats.first(), {r["term"]: r["idf"] for r in index.terms.collect()}
+    for q, ts in asked:
+        for d, ws in docs:
+            ws = ws or []
+            want = [idf[t] * ws.count(t) * 2.5 / (ws.count(t) + 1.5 * (0.25 + 0.75 * len(ws) / stats["avgdl"])) for t in ts if t in ws]
+            assert ((q, d) in one) == bool(want) and abs(one.get((q, d), 0.0) - sum(want)) < 1e-12
+
+
 def test_rerank(spark):
     c = fusion.with_pool(spark.createDataFrame([("q", i, s) for i, s in enumerate([0.8, 0.6, 0.4])], "query_id string, doc_id int, relevance_score double"), 2)
     raw = spark.createDataFrame([("q", 0, -1.0), ("q", 1, 2.0)], "query_id string, doc_id int, cross_encoder_raw double")
