@@ -68,17 +68,19 @@ def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", toke
     term's ``part`` postings at a time.
     """
     spark = queries.sparkSession
-    weighed = query_terms(queries, query, tokens).join(index.terms, "term").select("term", "df", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"))
-    wanted = stored(weighed, "query-terms")
-    used = wanted.select("term", F.ceil(F.col("df") / part).cast("int").alias("parts")).distinct()
+    wanted = stored(query_terms(queries, query, tokens), "query-terms")
+    few = wanted.count() <= most
+    weighed = index.terms.join(F.broadcast(wanted) if few else wanted, "term").select("term", "df", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
     hits = index.postings.join(F.broadcast(index.stats.select("avgdl"))).select("term", "doc_id", share.alias("share"))
-    if wanted.count() <= most:
+    if few:
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        near = hits.join(F.broadcast(used), "term", "left_semi").repartition(tasks, "doc_id")
-        pairs = near.join(F.broadcast(wanted.select("term", "query_id", "weight")), "term")
+        near = hits.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").repartition(tasks, "doc_id")
+        pairs = near.join(F.broadcast(weighed.drop("df")), "term")
     else:
-        asked = wanted.join(used, "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("term", "part", "query_id", "weight")
+        parts = F.ceil(F.col("df") / part).cast("int")
+        asked = weighed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
+        used = index.terms.join(wanted, "term", "left_semi").select("term", parts.alias("parts"))
         near = hits.join(used, "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
         pairs = near.join(asked, ["term", "part"])
     return pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
