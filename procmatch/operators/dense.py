@@ -7,14 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procmatch.functions.text import blank, tokenize
-
-#: Queries whose vectors are broadcast together.
-BLOCK = 4096
+from procmatch.operators import blocks
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,71 +45,115 @@ def check_dimension(vectors: DataFrame, dimension: int, vector: str = "embedding
     return vectors.withColumn("reject_reason", F.when(F.col(vector).isNull(), "missing").when(bad, "dimension_mismatch"))
 
 
-def search_pairs(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """Every pair's score in SQL terms, for few queries: their table is small enough to broadcast, or Spark would not."""
-    q = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("_q"))
-    pairs = docs.select(F.col(doc).alias("doc_id"), F.col(vector).alias("_d")).crossJoin(q)
-    return pairs.select("query_id", "doc_id", F.when(F.col("_q").isNull(), 0.0).otherwise(clipped(cosine(F.col("_q"), F.col("_d")))).alias("score"))
+def search_pairs(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = blocks.BLOCK) -> DataFrame:
+    """Every pair's score, where all are wanted; without a query vector all its scores are 0."""
+    return score_all(queries, docs, None, query, doc, vector, block, null_queries=True)
+
+
+def _asked(queries: DataFrame, query: str, vector: str, null_queries: bool = False) -> DataFrame:
+    q = queries if null_queries else queries.where(F.col(vector).isNotNull())
+    return q.select(F.col(query).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def score_all(queries: DataFrame, docs: DataFrame, k: int | None = None, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """``(query_id, doc_id, score)``: cosines cut to 0..1, of all pairs or of each batch's ``k`` best a query.
+def score_all(queries: DataFrame, docs: DataFrame, k: int | None = None, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = blocks.BLOCK, null_queries: bool = False) -> DataFrame:
+    """``(query_id, doc_id, score)``: cosines cut to 0..1, of all pairs or of each task's ``k`` best a query.
 
-    Queries are broadcast in blocks of bounded size; a batch of documents is one matrix product with a block. Scores are rounded to 12
+    A slice of documents is one matrix product with a block of queries. Scores are rounded to 12
     places, so that equal vectors tie. Null query vectors have no rows, null documents' neither; zero vectors score 0.
     """
-    kind, key = docs.schema[doc].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-q.count() // block))
-    out = docs.sparkSession.createDataFrame([], f"query_id {key}, doc_id {kind}, score double")
-    for i in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
-        if not rows:
-            continue
-        matrix = np.array([r["v"] for r in rows])
-        size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = docs.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows]), matrix / np.where(size == 0, 1, size)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, m = shared.value
-            step = max(1, 1_000_000 // len(m))
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    batch = batch.filter(pc.is_valid(batch.column(1)))
-                    if not batch.num_rows:
-                        continue
-                    batch = batch.take(pc.sort_indices(batch.column(0)))
-                    v = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
-                    size = np.linalg.norm(v, axis=1, keepdims=True)
-                    near = np.round(np.clip(m @ (v / np.where(size == 0, 1, size)).T, 0, 1), 12)
-                    best = np.argsort(-near, axis=1, kind="stable")[:, :k] if k is not None else np.tile(np.arange(len(v)), (len(m), 1))
-                    who = pa.array(np.repeat(np.arange(len(m)), best.shape[1]))
-                    yield pa.RecordBatch.from_arrays([ids.take(who), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query_id", "doc_id", "score"])
-
-        out = out.unionByName(docs.select(F.col(doc).alias("doc_id"), F.col(vector).cast("array<double>")).mapInArrow(run, out.schema))
-    return out
-
-
-def search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    return nearest(queries, docs, k, [doc], query, vector, block, null_queries).withColumnRenamed(doc, "doc_id")
+
+
+def nearest(queries: DataFrame, docs: DataFrame, k: int | None, keys: list[str], query: str = "query_id", vector: str = "embedding", block: int = blocks.BLOCK, null_queries: bool = False) -> DataFrame:
+    """``(query_id, *keys, score)`` as ``score_all``, for documents with several key columns, by which ties are ordered.
+
+    With ``k`` a slice of documents is passed over for those queries that, by its centre and radius, none of it can bring among the task's k best so far;
+    ``clustered`` lays documents so that radii are small.
+    """
+    q = _asked(queries, query, vector, null_queries)
+    types = {c: docs.schema[c].dataType.simpleString() for c in keys}
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", score double"
+    slim = docs.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    return blocks.product(q, slim, Nearest(k, keys), schema, block)
+
+
+class Nearest:
+    """What a task does with a block of queries and its documents; ``scored`` counts the pairs worked out."""
+
+    def __init__(self, k: int | None, keys: list[str]):
+        self.k, self.keys, self.scored = k, keys, 0
+
+    def __call__(self, queries: pa.Table) -> Callable[[blocks.Batches], blocks.Batches]:
+        ids = queries.column("query_id").combine_chunks()
+        m, _ = blocks.unit_vectors(queries.column("v"))
+
+        def run(batches: blocks.Batches) -> blocks.Batches:
+            best = blocks.Best(len(ids), self.k, self.keys) if self.k is not None else None
+            names = ["query_id", *self.keys, "score"]
+            for batch in blocks.sliced(batches, len(ids)):
+                if not batch.num_rows or not len(ids):
+                    continue
+                batch = blocks.in_order(batch, self.keys) if best else batch
+                v, _ = blocks.unit_vectors(batch.column(len(self.keys)))
+                queries = m if m.shape[1] else np.zeros((len(m), v.shape[1]))
+                live = np.arange(len(ids)) if best is None else np.flatnonzero(np.maximum(blocks.reach(queries, v), 0) >= best.least)
+                self.scored += len(live) * len(v)
+                if not len(live):
+                    continue
+                near = np.round(np.clip(queries[live] @ v.T, 0, 1), 12)
+                if best is None:
+                    q, d = np.repeat(live, len(v)), np.tile(np.arange(len(v)), len(live))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *[batch.column(i).take(pa.array(d)) for i in range(len(self.keys))], pa.array(near.ravel())], names=names)
+                else:
+                    kth = np.partition(near, -self.k, axis=1)[:, -self.k] if near.shape[1] > self.k else np.full(len(live), -1.0)
+                    q, d = np.nonzero(near >= np.maximum(kth, best.least[live])[:, None])
+                    best.add(live[q], near[q, d], {c: batch.column(i).take(pa.array(d)) for i, c in enumerate(self.keys)})
+            if best is not None and best.rows is not None:
+                yield from best.rows.select(["_q", *self.keys, "_score"]).set_column(0, "query_id", ids.take(best.rows.column("_q").combine_chunks())).rename_columns(names).to_batches()
+
+        return run
+
+
+def clustered(docs: DataFrame, vector: str = "embedding", clusters: int = 256, name: str = "cluster") -> DataFrame:
+    """``docs`` with the number of the nearest of at most ``clusters`` documents drawn by hash, laid by it: documents near each other lie together.
+
+    The drawn vectors are a sample of bounded size; whatever it is, searches stay exact, and only how much they pass over depends on it.
+    """
+    key = F.xxhash64(F.col(vector).cast("array<double>"))
+    drawn = docs.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), key.alias("h")).orderBy("h").limit(clusters).select("v").toArrow()
+    centres, _ = blocks.unit_vectors(drawn.column("v"))
+    shared = docs.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def number(vectors: pd.Series) -> pd.Series:
+        c, out = shared.value, np.zeros(len(vectors), np.int32)
+        full = vectors.notna().to_numpy()
+        if full.any() and len(c):
+            out[full] = (np.stack(vectors[full].to_numpy()).astype(float) @ c.T).argmax(1)
+        return pd.Series(out)
+
+    return docs.withColumn(name, number(F.col(vector))).repartitionByRange(name).sortWithinPartitions(name)
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = blocks.BLOCK) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the k most similar documents of each query, exactly; ties go to the smaller document id.
 
-    Each batch hands on its k best, and a window picks among those.
+    Each task hands on its k best, and a window picks among those.
     """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return score_all(queries, docs, k, query, doc, vector, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_chunks(queries: DataFrame, chunks: DataFrame, model: str | None = None, dimension: int | None = None, k: int | None = None, parent: str = "standard_id", query: str = "query_id", vector: str = "embedding", chunk: str = "chunk_id") -> DataFrame:
+def search_chunks(queries: DataFrame, chunks: DataFrame, model: str | None = None, dimension: int | None = None, k: int | None = None, parent: str = "standard_id", query: str = "query_id", vector: str = "embedding", chunk: str = "chunk_id", block: int = blocks.BLOCK) -> DataFrame:
     """``(query_id, doc_id, score)``: the best chunk of each document; with ``k`` only a query's k best chunks are looked at."""
     if model is not None:
         chunks = chunks.where(F.col("embedding_model") == model)
     if dimension is not None:
         chunks = chunks.where(F.col("embedding_dimension") == dimension)
-    pairs = search_pairs(queries, chunks.select(F.struct(F.col(parent).alias("parent"), F.col(chunk).alias("chunk")).alias("both"), F.col(vector)), query, "both", vector)
+    pairs = nearest(queries, chunks, k, [parent, chunk], query, vector, block, null_queries=True)
     if k is not None:
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    return pairs.groupBy("query_id", F.col("doc_id.parent").alias("doc_id")).agg(F.max("score").alias("score"))
+        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), parent, chunk))).where(F.col("rank") <= k)
+    return pairs.groupBy("query_id", F.col(parent).alias("doc_id")).agg(F.max("score").alias("score"))
 
 
 def semantic_status(vector: Column) -> Column:

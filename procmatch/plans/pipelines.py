@@ -11,16 +11,19 @@ from procmatch.functions import querytext
 from procmatch.functions.extract import extract_requirements
 from procmatch.functions.text import candidate_text, document_text, expand_query, tokenize
 from procmatch.sources.shared import stored
-from procmatch.operators import certify, dense, evidence, fusion, gaps, lexical, network, report, versions
+from procmatch.operators import certify, evidence, fusion, gaps, hybrid, lexical, network, report, versions
+
+
+TABLES = ("records", "docs", "rules", "nodes", "edges", "missing")
 
 
 @dataclass
 class Catalog:
-    """Records prepared for requests: with tokens, versions, certification and neighbours."""
+    """Records prepared for requests: with tokens, vectors, versions, certification and neighbours. ``docs``: ``(doc_id, tokens, embedding)``."""
 
     records: DataFrame
     index: lexical.LexicalIndex
-    vectors: DataFrame | None
+    docs: DataFrame
     rules: DataFrame
     nodes: DataFrame
     edges: DataFrame
@@ -30,23 +33,23 @@ class Catalog:
     def build(records: DataFrame, rules: DataFrame, vectors: DataFrame | None = None) -> Catalog:
         """``records`` as ``sources.corpus`` gives them; ``vectors``: ``(doc_id, embedding)``. What is built here can be stored and reused."""
         tokens = records.select(F.col("id").alias("doc_id"), tokenize(document_text()).alias("tokens"))
+        none = F.lit(None).cast("array<double>").alias("embedding")
+        docs = stored(tokens.withColumn("embedding", none) if vectors is None else tokens.join(vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), "doc_id", "left"), "docs")
         nodes = records.select("id", "is_number", "title", "product_category", "ord", "related_standards")
         resolved = network.resolve(network.references(nodes), nodes)
         declared = network.declared_edges(resolved)
         edges = declared.unionByName(network.inferred_edges(nodes, declared))
-        return Catalog(records, lexical.build_index(tokens), vectors, rules, nodes, edges, network.unresolved(resolved))
+        return Catalog(records, lexical.build_index(docs), docs, rules, nodes, edges, network.unresolved(resolved))
 
     def save(self, path: str) -> None:
         """All tables below ``path``, so that requests don't build them again; postings by term."""
         self.index.save(f"{path}/index")
-        for name in ("records", "vectors", "rules", "nodes", "edges", "missing"):
-            if (df := getattr(self, name)) is not None:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
-    def load(spark, path: str, with_vectors: bool = False) -> Catalog:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Catalog(read("records"), lexical.LexicalIndex.load(spark, f"{path}/index"), read("vectors") if with_vectors else None, read("rules"), read("nodes"), read("edges"), read("missing"))
+    def load(spark, path: str) -> Catalog:
+        return Catalog(index=lexical.LexicalIndex.load(spark, f"{path}/index"), **{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
 
     def near(self) -> DataFrame:
         """``(doc_id, neighbours)``."""
@@ -67,17 +70,10 @@ def enrich(ranked: DataFrame, catalog: Catalog, query: str = "query") -> DataFra
     return rows.withColumn("reasons", fusion.reasons(F.col(query)))
 
 
-def candidates(requests: DataFrame, catalog: Catalog, keyword_query: str = "keyword_query", alpha: float = fusion.ALPHA, block: int = dense.BLOCK) -> DataFrame:
-    """All candidates of all requests, fused. ``requests``: ``(query_id, keyword_query[, embedding])``."""
-    asked = requests.select("query_id", tokenize(F.col(keyword_query)).alias("tokens"))
-    # Its limits and its rows are both wanted.
-    lex = stored(lexical.score(catalog.index, asked), "lexical")
-    n = catalog.index.stats.select("n")
-    if catalog.vectors is None or "embedding" not in requests.columns:
-        sem = None
-    else:
-        sem = stored(dense.score_all(requests, catalog.vectors, block=block), "semantic")
-    return fusion.fuse(lex, sem, n, alpha)
+def candidates(requests: DataFrame, catalog: Catalog, k: int, keyword_query: str = "keyword_query", alpha: float = fusion.ALPHA) -> DataFrame:
+    """Fused rows among which are the k best of each request ``(query_id, keyword_query[, embedding])``."""
+    asked = requests.select("query_id", tokenize(F.col(keyword_query)).alias("tokens"), *[c for c in ("embedding",) if c in requests.columns])
+    return hybrid.candidates(asked, catalog.docs, catalog.index, k, alpha, store=stored)
 
 
 def recommend(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, pool: int = fusion.POOL, beta: float = fusion.BETA, keyword_query: str | None = None, semantic_query: str = "query") -> DataFrame:
@@ -86,13 +82,13 @@ def recommend(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, po
     Lexical search takes the query with dictionary words added (or ``keyword_query``), vectors and the pair scorer take the plain one.
     """
     asked = requests.withColumn("keyword_query", expand_query(F.col("query")) if keyword_query is None else F.col(keyword_query))
-    fused, raw = candidates(asked, catalog), None
     if scorer is None:
         # The k best by the same order are all that is needed.
+        fused = candidates(asked, catalog, k)
         ranked = fusion.final_top_k(fusion.rerank(fused, None, beta), k, [F.desc("relevance_score"), "doc_id"])
         ranked = ranked.withColumn("hybrid_rank", F.col("rank")).withColumn("in_pool", F.col("rank") <= pool)
     else:
-        fused = stored(fusion.with_pool(fused, pool, k=k), "pool")
+        fused = stored(fusion.with_pool(candidates(asked, catalog, pool + max(1, k)), pool, k=k), "pool")
         texts = catalog.records.select(F.col("id").alias("doc_id"), candidate_text().alias("candidate_text"))
         full = requests.where(F.trim(semantic_query) != "").select("query_id", F.col(semantic_query).alias("query"))
         raw = fusion.pair_scores(fused.where("in_pool").select("query_id", "doc_id").join(full, "query_id").join(texts, "doc_id"), scorer)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmatch.functions import extract, querytext, text
-from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, lexical, network, report, sync, versions
+from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, hybrid, lexical, network, report, sync, versions
 from procmatch.plans import pipelines
 from procmatch.sources import corpus, shared, sinks
 from procmatch.streaming import enrich
@@ -390,12 +390,23 @@ fused AS (SELECT query_id, doc_id, round(b, 4) AS bm25_raw, round(bn, 4) AS bm25
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, doc_id) AS hybrid_rank FROM fused)"""
 
 
-def fused(spark, sf):
-    v, b, d = vectors(spark, sf), benchmark_queries(spark, sf), table(spark, sf, "documents")
+def with_vector(spark, sf, df: DataFrame, key: str, step: int) -> DataFrame:
+    """``df`` with a vector of the table of vectors, dealt by its key."""
+    v = vectors(spark, sf).select(F.col("doc_id").alias("vec"), "embedding")
     m = F.broadcast(v.agg(F.count("*").alias("m")))
-    place = lambda df, c, k: df.join(m).select(c, F.pmod(F.col(c) * k, F.col("m")).alias("vec")).join(v.select(F.col("doc_id").alias("vec"), "embedding"), "vec").drop("vec")
-    sem = dense.score_all(place(b, "query_id", 7), place(d.select("doc_id"), "doc_id", 1))
-    return fusion.fuse(doc_scores(spark, sf), sem, d.agg(F.count("*").alias("n")))
+    return df.join(m).withColumn("vec", F.pmod(F.col(key) * step, F.col("m"))).join(v, "vec").drop("vec", "m")
+
+
+def fused(spark, sf):
+    """All pairs."""
+    sem = dense.score_all(with_vector(spark, sf, benchmark_queries(spark, sf), "query_id", 7), with_vector(spark, sf, table(spark, sf, "documents").select("doc_id"), "doc_id", 1))
+    return fusion.fuse(doc_scores(spark, sf), sem, table(spark, sf, "documents").agg(F.count("*").alias("n")))
+
+
+def fused_best(spark, sf, k: int):
+    """The k best of each query, found without a row for each pair."""
+    docs = shared.stored(with_vector(spark, sf, documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("tokens")), "doc_id", 1), "docs")
+    return hybrid.candidates(with_vector(spark, sf, benchmark_queries(spark, sf), "query_id", 7), docs, lexical.build_index(docs), k, store=shared.stored)
 
 
 @query(f"WITH {BM25_CTES} SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN CASE WHEN hi > 0 THEN 1 ELSE 0 END ELSE (score - lo) / (hi - lo) END, 4) AS norm FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM scores)")
@@ -410,7 +421,7 @@ def hybrid_fusion(spark, sf):
 
 @query(f"WITH {FUSE_CTES} SELECT query_id, doc_id, relevance_score, CAST(hybrid_rank AS INT) AS rank, round_even(CASE WHEN top > 1e-9 THEN relevance_score / top * 100 ELSE 0 END::DOUBLE, 0) AS relative_match_score FROM (SELECT *, max(relevance_score) OVER (PARTITION BY query_id) AS top FROM pool) WHERE hybrid_rank <= 10")
 def hybrid_topk(spark, sf):
-    return fusion.final_top_k(fused(spark, sf), 10).select("query_id", "doc_id", "relevance_score", "rank", "relative_match_score")
+    return fusion.final_top_k(fused_best(spark, sf, 10), 10).select("query_id", "doc_id", "relevance_score", "rank", "relative_match_score")
 
 
 @query(f"""WITH {FUSE_CTES}, re AS (SELECT query_id, doc_id, relevance_score AS hybrid_score, hybrid_rank, hybrid_rank <= 10 AS reranked, CASE WHEN hybrid_rank <= 10 THEN (doc_id % 17) / 4.1 - 2 END AS raw FROM pool),
@@ -418,7 +429,7 @@ fin AS (SELECT *, CASE WHEN reranked THEN round(0.5 / (1 + exp(-raw)) + 0.5 * hy
 SELECT query_id, doc_id, hybrid_score, CASE WHEN reranked THEN round(1 / (1 + exp(-raw)), 4) END AS cross_encoder_norm, reranked, relevance_score, CAST(rank AS INT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, reranked DESC, hybrid_rank) AS rank FROM fin) WHERE rank <= 15""")
 def rerank_fusion(spark, sf):
-    pool = fusion.with_pool(fused(spark, sf))
+    pool = fusion.with_pool(fused_best(spark, sf, 10 + 15), k=15)
     raw = pool.where("in_pool").select("query_id", "doc_id", (F.col("doc_id") % 17 / 4.1 - 2).alias("cross_encoder_raw"))
     return fusion.final_top_k(fusion.rerank(pool, raw), 15).select("query_id", "doc_id", "hybrid_score", "cross_encoder_norm", "reranked", "relevance_score", "rank")
 
@@ -889,8 +900,8 @@ def systems(spark, sf):
     q, v = vector_queries(spark, sf), vectors(spark, sf)
 
     def ranked(q, v):
-        pairs = dense.score_all(q, v).where("query_id <> doc_id")
-        return lexical.top_k(pairs, 14)
+        # A query's own row may be among the best and doesn't count.
+        return lexical.top_k(dense.search(q, v, 15).where("query_id <> doc_id"), 14)
 
     return {"dense": ranked(q, v), "half": ranked(halves(q), halves(v))}
 
