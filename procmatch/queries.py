@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmatch.functions import extract, querytext, text
-from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, hybrid, lexical, network, report, sync, versions
+from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, hybrid, impact, lexical, network, report, sync, versions
 from procmatch.plans import pipelines
 from procmatch.sources import corpus, shared, sinks
 from procmatch.streaming import enrich
@@ -265,7 +265,7 @@ scores AS (SELECT query_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.
 
 
 def doc_index(spark, sf, idf="plus_one"):
-    return lexical.build_index(documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("tokens")), idf=idf)
+    return lexical.build_index(shared.stored(documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("tokens")), "tokens"), idf=idf)
 
 
 def benchmark_queries(spark, sf):
@@ -301,8 +301,7 @@ def bm25_dense_scores(spark, sf):
 
 @query(f"WITH {BM25_CTES} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    s = doc_scores(spark, sf).withColumn("exact", F.round("score", 9))
-    return lexical.top_k(s, 10, score_col="exact").select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return impact.search(impact.build(doc_index(spark, sf)), benchmark_queries(spark, sf), 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 # --- F: vectors ---------------------------------------------------------------------------------------------------
