@@ -11,7 +11,7 @@ from procmatch.functions import querytext
 from procmatch.functions.extract import extract_requirements
 from procmatch.functions.text import candidate_text, document_text, expand_query, tokenize
 from procmatch.sources.shared import stored
-from procmatch.operators import certify, evidence, fusion, gaps, hybrid, lexical, network, report, versions
+from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, hybrid, impact, lexical, network, report, versions
 
 
 TABLES = ("records", "docs", "rules", "nodes", "edges", "missing")
@@ -97,6 +97,15 @@ def recommend(requests: DataFrame, catalog: Catalog, k: int = 5, scorer=None, po
     return enrich(stored(ranked.join(asked.select("query_id", "query"), "query_id"), "ranked"), catalog)
 
 
+def systems(requests: DataFrame, catalog: Catalog, scorer, most: int = 14) -> DataFrame:
+    """``(system, query_id, doc_id, rank)`` of each request's ``most`` best by words alone, by vectors alone, by both, and by both with pairs scored."""
+    asked = stored(requests.withColumn("tokens", tokenize(expand_query(F.col("query")))), "asked")
+    words = impact.search(impact.build(catalog.index), asked, most)
+    near = dense.search(asked, catalog.docs, most)
+    both = fusion.final_top_k(candidates(asked.withColumn("keyword_query", expand_query(F.col("query"))), catalog, most), most)
+    return evaluate.compare_systems({"bm25": words, "dense": near, "hybrid": both, "reranked": recommend(requests, catalog, most, scorer)}, most)
+
+
 def recommend_from_requirements(documents: DataFrame, catalog: Catalog, k: int = 5, scorer=None) -> DataFrame:
     """``recommend`` for rows ``(query_id, requirements)``: queries are built from what was extracted; reasons see the keyword query, the pair scorer the sentences."""
     r = F.col("requirements")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmatch.functions.extract import installation_clauses, is_mentions, product, safety_clauses, technical_attributes
 from procmatch.functions.text import normalize_text, tokenize
+from procmatch.plans import pipelines
 
 
 def enrich_documents(stream: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,3 +30,21 @@ def on_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path:
         work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def arriving(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """Requests as Parquet files that arrive in a folder, at most ``files`` of them in a batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def recommend_stream(stream: DataFrame, catalog: pipelines.Catalog, path: str, checkpoint: str, k: int = 5, scorer=None, columns: Callable[[DataFrame], DataFrame] | None = None):
+    """A writer that recommends records for each batch of requests ``(query_id, query[, embedding])``.
+
+    A stream that is stopped or dies goes on from its checkpoint: a batch that wasn't finished runs again into the same folder, one that was doesn't.
+    """
+    return on_batches(stream, lambda batch: (columns or (lambda df: df))(pipelines.recommend(batch, catalog, k, scorer)), path, checkpoint)
+
+
+def ranked_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """What all batches have written."""
+    return spark.read.parquet(path).drop("batch")
