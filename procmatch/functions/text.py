@@ -118,13 +118,6 @@ def expand_query(c: Column, terms: list[tuple[str, list[str]]] | None = None) ->
     return F.when(c.isNull() | (q == ""), c).when(more == "", q).otherwise(F.concat(q, F.lit(" "), more))
 
 
-def expand_by_table(queries: DataFrame, terms: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """``expand_query`` for a dictionary table ``(ord, term, words)``; its rows are matched to queries by containment."""
-    hits = queries.join(terms, F.contains(F.trim(query), F.col("term"))).groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("ord", "words"))).alias("h"))
-    more = hits.select(query_id, F.array_join(F.array_distinct(F.flatten(F.col("h.words"))), " ").alias("more"))
-    return queries.join(more, query_id, "left").withColumn("expanded", F.when(F.col("more").isNull(), F.trim(query)).otherwise(F.concat_ws(" ", F.trim(query), "more"))).drop("more")
-
-
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 

@@ -1,7 +1,7 @@
 """The graph of records: declared references resolved to records, and records of one category linked.
 
-Nodes and edges are tables; a reference is resolved by equi-joins on key tables, and only what no key matches goes
-through a containment join.
+Nodes and edges are tables; a reference is resolved by equi-joins on key tables, and only what no key matches is looked for inside keys, and
+keys inside it, by an index of character grams.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procmatch.operators.containment import contained
+from procmatch.sources.shared import stored
+
 LABELS = {"RELATED_STANDARD": ("Related standard (prototype corpus)", "standards.json (declared)"), "SAME_PRODUCT_CATEGORY": ("Same Product Category", "corpus_category_inference")}
 
 
@@ -41,8 +44,11 @@ def resolve(references: DataFrame, nodes: DataFrame, ref: str = "ref") -> DataFr
     by_key = table.select(F.col("key").alias("_whole"), F.col("id").alias("_by_whole"))
     by_base = table.select(F.col("key").alias("_base"), F.col("id").alias("_by_base"))
     first = distinct.join(by_key, "_whole", "left").join(by_base, "_base", "left").withColumn("_target", F.coalesce("_by_whole", "_by_base"))
-    left = first.where(F.col("_target").isNull() & F.col("_base").rlike(r"\d")).select("_ref", "_base")
-    inside = left.join(table, F.contains("key", "_base") | F.contains("_base", "key")).groupBy("_ref").agg(F.min_by("id", "key_ord").alias("_inside"))
+    left = stored(first.where(F.col("_target").isNull() & F.col("_base").rlike(r"\d")).select("_ref", "_base"), "unmatched")
+    table = stored(table, "keys")
+    bases, named = left.select("_base"), table.select("key")
+    either = contained(named, bases, "key", "_base").unionByName(contained(bases, named, "_base", "key")).distinct()
+    inside = left.join(either, "_base").join(table, "key").groupBy("_ref").agg(F.min_by("id", "key_ord").alias("_inside"))
     known = first.select("_ref", "_target").join(inside, "_ref", "left").select("_ref", F.coalesce("_target", "_inside").alias("target"))
     return references.join(known, F.col(ref) == F.col("_ref"), "left").drop("_ref")
 
@@ -89,15 +95,31 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"))).distinct()
 
 
-def neighbourhood(centres: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """``(centre, id, depth)`` of the nodes at most ``depth`` (1 or 2) steps away in either direction, centres included."""
-    near = both_ways(edges)
-    out = centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("depth"))
-    step = out
-    for d in range(1, min(max(int(depth), 1), 2) + 1):
-        step = step.join(near, step["id"] == near["u"]).select("centre", F.col("v").alias("id"), F.lit(d).alias("depth")).distinct()
+#: Neighbours of a node that one task goes through for a step.
+PART = 20_000
+
+
+def neighbourhood(centres: DataFrame, edges: DataFrame, depth: int = 1, most: int | None = 2, part: int = PART) -> DataFrame:
+    """``(centre, id, depth)`` of the nodes at most ``depth`` steps away in either direction, centres included; ``depth`` is at least 1 and at most ``most`` (None: any).
+
+    Step by step from the nodes found last, whatever was found before left out; each step is stored, so lineage doesn't grow. A
+    node with very many neighbours has them dealt to parts of some ``part``, and is asked for in each.
+    """
+    near = stored(both_ways(edges), "both-ways")
+    size = near.groupBy("u").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    near = stored(near.join(size, "u").select("u", "v", "parts", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part")), "near")
+    parts = stored(size.where("parts > 1"), "hubs")
+    step = stored(centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("depth")).distinct(), "step")
+    out = step
+    depth = max(int(depth), 1)
+    for d in range(1, (depth if most is None else min(depth, most)) + 1):
+        asked = step.join(parts.withColumnRenamed("u", "id"), "id", "left").select("centre", "id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        met = asked.join(near.select(F.col("u").alias("id"), "part", "v"), ["id", "part"]).select("centre", F.col("v").alias("id")).distinct()
+        step = stored(met.join(out.select("centre", "id"), ["centre", "id"], "left_anti").withColumn("depth", F.lit(d)), "step")
+        if not step.take(1):
+            break
         out = out.unionByName(step)
-    return out.groupBy("centre", "id").agg(F.min("depth").alias("depth"))
+    return out
 
 
 def induced_edges(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmatch.functions import extract, querytext, text
-from procmatch.operators import certify, dense, evaluate, evidence, fusion, gaps, hybrid, impact, lexical, network, report, sync, versions
+from procmatch.operators import certify, containment, dense, evaluate, evidence, fusion, gaps, hybrid, impact, lexical, network, report, sync, versions
 from procmatch.plans import pipelines
 from procmatch.sources import corpus, shared, sinks
 from procmatch.streaming import enrich
@@ -153,7 +153,7 @@ def query_expansion(spark, sf):
 @query(ORACLES["query_expansion"])
 def query_expansion_table(spark, sf):
     terms = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(TERMS)], "ord int, term string, words array<string>")
-    return text.expand_by_table(table(spark, sf, "benchmark"), terms, "item_id", "text").select("item_id", "expanded")
+    return containment.expand_by_table(table(spark, sf, "benchmark"), terms, "item_id", "text").select("item_id", "expanded")
 
 
 # --- C, D: extraction and queries built from it -------------------------------------------------------------------
@@ -546,6 +546,12 @@ def khop2(spark, sf):
     return network.neighbourhood(centres(spark, sf), graph(spark, sf)[0], 2)
 
 
+@query(f"""WITH RECURSIVE {GRAPH_CTES}, walk AS (SELECT id AS centre, id, 0 AS d FROM centre UNION SELECT centre, v, d + 1 FROM walk JOIN both_ways ON id = u WHERE d < 3)
+SELECT centre, id, CAST(min(d) AS INT) AS depth FROM walk GROUP BY ALL""")
+def khop3(spark, sf):
+    return network.neighbourhood(centres(spark, sf), graph(spark, sf)[0], 3, most=None)
+
+
 @query(f"WITH {GRAPH_CTES}, mem AS (SELECT id AS centre, id FROM centre UNION SELECT centre, id FROM hop1) SELECT a.centre, source, target, relationship_type FROM edges JOIN mem a ON a.id = source JOIN mem b ON b.id = target AND b.centre = a.centre")
 def induced_edges(spark, sf):
     edges = graph(spark, sf)[0]
