@@ -1,10 +1,9 @@
 """How far the sources of a language differ in their words: exact counts of terms, scaled to whole billionths, compared by chi-square-like terms.
 
-Documents become sparse vectors by ``CountVectorizer`` with ``minDF`` and the largest vocabulary there can be, so no term is cut. A term is counted
-with its language in front: since a document has one language, one fit gives each language the vocabulary that a fit of its own would.
-Vectors are summed by language and source where they lie, as ``Summarizer`` would, but as (term, count) rows, so that no buffer has the vocabulary's
-width. ``CountVectorizer`` holds its vocabulary on the driver and sends it to all tasks, so kept terms are counted first: above ``VOCABULARY`` of them the
-same vectors' entries are counted by joins, with the same result.
+Each document becomes a sparse vector of term counts, as ``CountVectorizer`` makes it with ``minDF`` and the largest vocabulary there can be, and vectors
+are summed by language and source as they arise, as ``Summarizer`` sums them. A vector's entries are (term, count) rather than (place, count), and a term's number of
+documents is summed beside its count: so one pass over the text gives the vocabulary and the sums, no vocabulary stands on the driver or in every
+task, and no buffer has its width. Terms in fewer documents than asked for go before anything else is worked out. The tests compare with ``CountVectorizer`` itself.
 
 For a pair of sources a and b and f(p, q) = (p - q)^2 div q, terms that one or both lack all have the same p, so
   sum f(p, q) = sum over terms of both [f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)] + sum over a's terms [f(p, q0) - f(p0, q0)] + sum over b's terms [f(p0, q) - f(p0, q0)] + V f(p0, q0).
@@ -16,78 +15,81 @@ a count of 0; a language without kept terms has no terms and pairs of value 0. A
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import stored
+from procmatch.llm.common import slices, stored, tidied
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: In UTF-8, after A to Z have become small: letters, and all that isn't ASCII.
+TERM = re.compile(rb"[a-z\x80-\xff]+")
 MIN_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
-#: Kept terms that a CountVectorizer may hold on the driver and in each executor, some 150 bytes each.
-VOCABULARY = 1_500_000
-#: Rows (term, source) of a block of terms; pairs worked out at once; parts that a language's pairs are dealt to.
-BLOCK, CHUNK, SALT = 100_000, 1_000_000, 16
-SEPARATOR = "\x00"
+#: Sums that a task holds before it hands them on; rows (term, source) of a block of terms; pairs worked out at once; parts that a language's pairs are dealt to.
+HELD, BLOCK, CHUNK, SALT = 400_000, 100_000, 1_000_000, 16
 
 
 @dataclass
 class Counts:
-    """``groups`` (lang, source, total), ``langs`` (lang, v, total), ``terms`` (lang, source, term, n) with n > 0, ``lang_terms`` (lang, term, n); total: occurrences of kept terms."""
+    """``groups`` (lang, source, total), ``langs`` (lang, v, total), ``terms`` (lang, source, term, n, all_n) with n > 0; total: occurrences of kept terms; all_n: those in the language."""
 
     groups: DataFrame
     langs: DataFrame
     terms: DataFrame
-    lang_terms: DataFrame
 
 
-def tokenized(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``(lang, source, terms)``."""
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(plain(lang).alias("lang"), plain(source).alias("source"), F.regexp_extract_all(F.translate(plain(text), UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
-
-
-def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(lang, term)`` of the terms in ``min_docs`` documents of the language or more."""
-    return docs.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs).select("lang", "term")
-
-
-def _by_vectors(docs: DataFrame, kept: DataFrame, min_docs: int) -> DataFrame:
-    """Group counts from sparse document vectors; a kept term's place is that of its own vector, so the vocabulary needn't be listed."""
-    named = lambda t: F.concat("lang", F.lit(SEPARATOR), t)
-    own = docs.select("lang", "source", F.transform("terms", named).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(own)
-    entries = lambda df, *keep: model.transform(df).select(*keep, F.unwrap_udt("vector").alias("v")).select(*keep, F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-    sums = entries(own, "lang", "source").groupBy("lang", "source", F.col("e.indices").alias("place")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
-    places = entries(kept.select("lang", "term", F.array(named(F.col("term"))).alias("terms")), "lang", "term").select("term", F.col("e.indices").alias("place"))
-    return sums.join(places, "place").select("lang", "source", "term", "n")
+def sums(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", held: int = HELD) -> DataFrame:
+    """``(lang, source, term, n, docs)``: occurrences of terms and documents with them, summed in tasks; a row of an empty term for each group and task, so that groups without terms are there."""
+
+    def rows(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in groups.items():
+            terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
+            same = lambda x: pa.array([x] * len(n), pa.string())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same(lang), same(source), terms, pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in slices(batches):
+            for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                terms = TERM.findall(text.encode().lower())
+                key = lang, source
+                if key not in groups:
+                    groups[key] = Counter({b"": 0}), Counter()
+                n, docs = groups[key]
+                was = len(n)
+                n.update(terms)
+                docs.update(set(terms))
+                size += len(n) - was
+            if size > held:
+                yield from rows(groups)
+                groups, size = {}, 0
+        yield from rows(groups)
 
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
-def _by_joins(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The same without a vocabulary in one place: occurrences are summed before they meet the kept terms."""
-    counts = docs.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    return counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
 
+def count(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, held: int = HELD) -> Counts:
+    """Counts of the terms in ``min_docs`` documents of their language or more, for each language and source.
 
-def count(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> Counts:
-    """Counts of kept terms for each language and source."""
-    words = stored(tokenized(docs, text, lang, source), "terms")
-    kept = stored(kept_terms(words, min_docs), "kept")
-    size = kept.count()
-    terms = stored(_by_vectors(words, kept, min_docs) if 0 < size <= vocabulary else _by_joins(words, kept), "counts")
-    lang_terms = stored(terms.groupBy("lang", "term").agg(F.sum("n").alias("n")), "lang-counts")
-    total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("total"))
-    zero = F.coalesce("total", F.lit(0)).cast("long").alias("total")
-    groups = words.select("lang", "source").distinct().join(total(terms, "lang", "source"), ["lang", "source"], "left").select("lang", "source", zero)
-    sizes = lang_terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
-    langs = words.select("lang").distinct().join(sizes, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).cast("long").alias("v"), zero)
-    return Counts(stored(groups, "groups"), stored(langs, "langs"), terms, lang_terms)
+    One shuffle, by term: groups' sums and the language's then lie in the same task.
+    """
+    dealt = sums(docs, text, lang, source, held).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    w = Window.partitionBy("lang", "term")
+    first = F.row_number().over(w.orderBy("source")) == 1
+    every = dealt.withColumns({"all_n": F.sum("n").over(w), "all_docs": F.sum("docs").over(w), "first": first})
+    kept = stored(every.where((F.col("term") == "") | (F.col("all_docs") >= min_docs)).select("lang", "source", "term", "n", "all_n", "first"), "counts")
+    # Rows of the empty term add 0 and stand for the group.
+    groups = stored(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), "groups")
+    langs = stored(kept.groupBy("lang").agg(F.count_if(F.col("first") & (F.col("term") != "")).alias("v"), F.sum("n").alias("total")), "langs")
+    return Counts(groups, langs, kept.where("term <> ''").drop("first"))
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
@@ -104,9 +106,9 @@ def apart(p: Column, q: Column) -> Column:
 
 def term_ranks(c: Counts, top: int = TOP) -> DataFrame:
     """``(lang, source, item, value, rank)``: the terms that mark each source most, against its whole language."""
-    langs = c.langs.select("lang", "v", F.col("total").alias("_all"))
-    whole = c.lang_terms.join(langs, "lang").select("lang", "term", share(F.col("n"), F.col("_all"), F.col("v")).alias("q"), "v")
-    own = c.terms.join(c.groups, ["lang", "source"]).join(whole, ["lang", "term"]).select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "q")
+    sizes = c.groups.join(c.langs.select("lang", "v", F.col("total").alias("all_total")), "lang")
+    q = share(F.col("all_n"), F.col("all_total"), F.col("v"))
+    own = c.terms.join(sizes, ["lang", "source"]).select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), q.alias("q"))
     marked = own.where("p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return marked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -114,8 +116,8 @@ def term_ranks(c: Counts, top: int = TOP) -> DataFrame:
 
 def _common(batch: pa.Table) -> Iterator[pa.RecordBatch]:
     """Of one block of terms ``(term, source, p, p0)``: for each pair of sources the first sum above, in parts of CHUNK pairs."""
-    names, code = np.unique(batch.column("source").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
-    term = np.unique(batch.column("term").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)[1]
+    coded = lambda c: batch.column(c).combine_chunks().dictionary_encode()
+    names, code, term = coded("source").dictionary, coded("source").indices.to_numpy().astype(np.int64), coded("term").indices.to_numpy()
     order = np.argsort(term, kind="stable")
     code, p, p0 = code[order], batch.column("p").to_numpy()[order], batch.column("p0").to_numpy()[order]
     starts, lengths = np.unique(term[order], return_index=True, return_counts=True)[1:]
@@ -130,9 +132,9 @@ def _common(batch: pa.Table) -> Iterator[pa.RecordBatch]:
         f = lambda x, y: (x - y) ** 2 // y
         value = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
         pairs, where = np.unique(code[a] * len(names) + code[b], return_inverse=True)
-        sums = np.zeros(len(pairs), np.int64)
-        np.add.at(sums, where, value)
-        yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)], pa.string()), pa.array(names[pairs % len(names)], pa.string()), pa.array(sums)], names=["source", "item", "value"])
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, where, value)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(pairs // len(names))), names.take(pa.array(pairs % len(names))), pa.array(total)], names=["source", "item", "value"])
         at = to
 
 
@@ -161,13 +163,13 @@ def pair_ranks(c: Counts, block: int = BLOCK, salt: int = SALT) -> DataFrame:
     # Every pair, with all terms as if both lacked them.
     dealt_groups = groups.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(salt)).cast("int"))
     none = dealt_groups.join(other, ["lang", "part"]).where("source <> item").select("lang", "source", "item", (F.col("v") * apart(p0, q0)).alias("value"))
-    sums = common.unionByName(left).unionByName(right).unionByName(none).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    totals = common.unionByName(left).unionByName(right).unionByName(none).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return sums.withColumn("rank", F.row_number().over(w))
+    return totals.withColumn("rank", F.row_number().over(w))
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, vocabulary: int = VOCABULARY) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: part ``pair`` of ``pair_ranks``, part ``term`` of ``term_ranks``."""
-    c = count(docs, text, lang, source, min_docs, vocabulary)
+    c = count(docs, text, lang, source, min_docs)
     rows = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return rows(pair_ranks(c), "pair").unionByName(rows(term_ranks(c, top), "term"))
