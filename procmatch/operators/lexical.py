@@ -16,11 +16,12 @@ BROADCAST, PART = 500_000, 100_000
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (doc_id, term, tf, dl); ``stats`` one row (n, avgdl); ``terms`` (term, df, idf)."""
+    """``postings`` (doc_id, term, tf, dl); ``stats`` one row (n, avgdl); ``terms`` (term, df, idf). ``bucketed``: postings and terms lie in buckets by term."""
 
     postings: DataFrame
     stats: DataFrame
     terms: DataFrame
+    bucketed: bool = False
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Postings sorted by term, so that a query's terms prune row groups."""
@@ -33,6 +34,17 @@ class LexicalIndex:
     def load(spark, path: str) -> LexicalIndex:
         return LexicalIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "stats", "terms")))
 
+    def save_buckets(self, name: str, buckets: int, path: str) -> None:
+        """Tables ``name_postings``, ``name_terms`` and ``name_stats`` in the session's catalog, files below ``path``; the first two in buckets by term, so that joins by term don't move them."""
+        for part, by in (("postings", "term"), ("terms", "term"), ("stats", None)):
+            df = getattr(self, part)
+            out = (df.repartition(buckets, by) if by else df).write.option("path", f"{path}/{part}")
+            (out.bucketBy(buckets, by).sortBy(by) if by else out).saveAsTable(f"{name}_{part}")
+
+    @staticmethod
+    def load_buckets(spark, name: str) -> LexicalIndex:
+        return LexicalIndex(*(spark.table(f"{name}_{part}") for part in ("postings", "stats", "terms")), bucketed=True)
+
 
 def inverse_frequency(df: Column, n: Column) -> Column:
     """Always positive."""
@@ -65,7 +77,7 @@ def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", toke
 
     A term that a query repeats counts as often. Up to ``most`` query terms are broadcast to postings that lie by document, so that pairs are
     summed where they arise and only postings are shuffled, however frequent a term is. Beyond that queries and postings meet by term, a frequent
-    term's ``part`` postings at a time.
+    term's ``part`` postings at a time; of a bucketed index only the query terms move.
     """
     spark = queries.sparkSession
     wanted = stored(query_terms(queries, query, tokens), "query-terms")
@@ -77,6 +89,8 @@ def score(index: LexicalIndex, queries: DataFrame, query: str = "query_id", toke
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         near = hits.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").repartition(tasks, "doc_id")
         pairs = near.join(F.broadcast(weighed.drop("df")), "term")
+    elif index.bucketed:
+        pairs = hits.join(weighed.drop("df"), "term")
     else:
         parts = F.ceil(F.col("df") / part).cast("int")
         asked = weighed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")

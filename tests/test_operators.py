@@ -155,9 +155,9 @@ def test_sinks(spark, tmp_path):
     a = table(spark, [("1", "a", []), ("2", "b", [])])
     assert sinks.seed(a, path) == {"inserted": 2, "updated": 0, "deleted": 0, "total": 2}
     assert sinks.seed(table(spark, [("2", "c", []), ("3", "d", [])]), path) == {"inserted": 1, "updated": 1, "deleted": 0, "total": 3}
-    assert {r["id"]: r["title"] for r in spark.read.parquet(path).collect()} == {"1": "a", "2": "c", "3": "d"}
+    assert {r["id"]: r["title"] for r in sinks.read_table(spark, path).collect()} == {"1": "a", "2": "c", "3": "d"}
     assert sinks.seed(a, path, clear_existing=True)["deleted"] == 3
-    assert sinks.clear(spark, path) == 2 and spark.read.parquet(path).count() == 0
+    assert sinks.clear(spark, path) == 2 and sinks.read_table(spark, path).count() == 0
     sinks.write_json(a, f"file://{tmp_path}/j")
     assert spark.read.json(f"file://{tmp_path}/j").count() == 2
 

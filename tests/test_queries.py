@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, assert_same
 
-from procmatch import catalog_queries, queries  # noqa: F401  both register
+from procmatch import catalog_queries, queries, source_queries  # noqa: F401  all register
 
 NO_SQL = sorted(set(queries.QUERIES) - set(queries.ORACLES))
 
