@@ -50,10 +50,10 @@ def with_terms(texts: DataFrame, terms: DataFrame, text: str, name: str = "found
     if size["n"] > most or size["chars"] > chars:
         pairs = contained(texts.select(F.col(text).alias("_text")), terms, "_text", "term")
         empty = terms.where(F.length("term") == 0).agg(F.collect_list("ord").alias("_empty"))
-        hits = pairs.join(terms, "term").groupBy("_text").agg(F.collect_list("ord").alias("_ords"))
+        hits = pairs.join(terms, "term").groupBy("_text").agg(F.collect_list("ord").alias("_hits"))
         none = F.array().cast(f"array<{kind}>")
         both = texts.join(hits, F.col(text) == F.col("_text"), "left").crossJoin(F.broadcast(empty))
-        return both.withColumn(name, F.when(F.col(text).isNull(), none).otherwise(F.array_sort(F.concat(F.coalesce("_ords", none), "_empty")))).drop("_text", "_ords", "_empty")
+        return both.withColumn(name, F.when(F.col(text).isNull(), none).otherwise(F.array_sort(F.concat(F.coalesce("_hits", none), "_empty")))).drop("_text", "_hits", "_empty")
     shared = texts.sparkSession.sparkContext.broadcast([(r["term"], r["ord"]) for r in terms.where("term is not null").select("term", "ord").collect()])
     columns, place = texts.columns, texts.columns.index(text)
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
