@@ -3,7 +3,8 @@
 The classes come from exchange clustering in two steps. First the driver clusters ``ITEMS`` items over their bigram table, which their
 number bounds: the most frequent words, and for all other words one item for each of the most frequent pairs of last letters, and one for the
 rest. Then each of the ``VOCABULARY`` most frequent words moves to the class that its own neighbours make likeliest: Spark sums, over all training texts,
-how often each class stands before and after each word, and tasks make the exchange for their words with the others' classes held.
+how often each class stands before and after each word, and how often a word follows itself, and tasks make the exchange for their words with the others'
+classes held. Moves that together would lower the likelihood aren't all made: ``settled`` counts again and takes the best of them, so it never falls.
 Rarer words keep the class of their ending. All counts are of the whole training text, summed in Spark; class bigrams are counted again after the moves.
 
 P(w | v) = P(class w | class v) * P(w | class w), with
@@ -198,51 +199,76 @@ class Classes:
         return k if k is not None else self.of[self.items(word)]
 
 
-def moved(texts: DataFrame, words: list[str], classes: Classes, pair: np.ndarray) -> dict[bytes, int]:
-    """The class of each of ``words`` after one exchange, each by its own neighbours in all ``texts`` and with the other words' classes held."""
+def likelihood(pair: np.ndarray) -> float:
+    """What of the training text's log likelihood depends on the classes, by their bigrams."""
+    return float(_entropy(pair).sum() - _entropy(pair.sum(1)).sum() - _entropy(pair.sum(0)).sum())
+
+
+def moved(texts: DataFrame, words: list[str], classes: Classes, pair: np.ndarray) -> dict[bytes, tuple[int, float]]:
+    """For those of ``words`` that gain by another class: the class after one exchange and the gain, each by its own neighbours in all ``texts`` and with the other words' classes held."""
     context, c = texts.sparkSession.sparkContext, classes.count
     number = {w.encode(): k for k, w in enumerate(words)}
     shared, table = context.broadcast((number, classes)), context.broadcast(pair.astype(float))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = shared.value
-        got = np.zeros(len(own) * 2 * c, np.int32)
+        wide = 2 * c + 1  # classes before, classes after, and the word itself
+        got = np.zeros(len(own) * wide, np.int64)
         # A code is the word's number (the last one: none of these) and its class.
         for a, follows in _coded(batches, lambda w: own.get(w, len(own)) * c + of(w)):
             word, kind = np.divmod(a, c)
-            before, after = word[1:] * 2 * c + kind[:-1], word[:-1] * 2 * c + c + kind[1:]
-            keys = np.concatenate([before[follows & (word[1:] < len(own))], after[follows & (word[:-1] < len(own))]])
+            itself = word[1:] == word[:-1]
+            before, after = word[1:] * wide + np.where(itself, 2 * c, kind[:-1]), word[:-1] * wide + c + kind[1:]
+            keys = np.concatenate([before[follows & (word[1:] < len(own))], after[follows & ~itself & (word[:-1] < len(own))]])
             at, n = np.unique(keys, return_counts=True)
-            got[at] += n.astype(np.int32)
+            got[at] += n
         at = np.flatnonzero(got)
         for k in range(0, len(at), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array((at[k : k + 200_000] // (2 * c)).astype(np.int32)), pa.array((at[k : k + 200_000] % (2 * c)).astype(np.int32)), pa.array(got[at[k : k + 200_000]].astype(np.int64))], names=["word", "place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((at[k : k + 200_000] // wide).astype(np.int32)), pa.array((at[k : k + 200_000] % wide).astype(np.int32)), pa.array(got[at[k : k + 200_000]])], names=["word", "place", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = shared.value
         names, full = list(own), table.value
         for batch in batches:
-            best = []
+            best, more = [], []
             for k, places, ns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                near = np.zeros(2 * c)
+                near = np.zeros(2 * c + 1)
                 near[places] = ns
-                into, out, was = near[:c], near[c:], of(names[k])
+                into, out, self_pairs, was = near[:c], near[c : 2 * c], near[2 * c], of(names[k])
                 rest = full.copy()
                 rest[was] -= out
                 rest[:, was] -= into
-                gain = gains(np.maximum(rest, 0), out, into, 0.0)
+                rest[was, was] -= self_pairs
+                gain = gains(rest, out, into, self_pairs)
                 gain[0] = -np.inf
                 best.append(int(np.argmax(gain)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], names=["word", "class"])
+                more.append(float(gain[best[-1]] - gain[was]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32()), pa.array(more, pa.float64())], names=["word", "class", "gain"])
 
     near = texts.mapInArrow(tidied(count), "word int, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
     each = near.groupBy("word").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("ns"))
-    out = {words[r["word"]].encode(): r["class"] for r in each.mapInArrow(tidied(choose), "word int, class int").collect()}
+    chosen = each.mapInArrow(tidied(choose), "word int, class int, gain double").where("gain > 1e-9")
+    out = {words[r["word"]].encode(): (r["class"], r["gain"]) for r in chosen.collect()}
     shared.destroy()
     table.destroy()
     return out
 
 
+def settled(texts: DataFrame, moves: dict[bytes, tuple[int, float]], of: Classes, pair: np.ndarray) -> tuple[Classes, np.ndarray]:
+    """The classes after as many of ``moves`` as together don't lower the likelihood, and their bigrams.
+
+    Each move gains with all else held, which moves made at once don't ensure: if together they lose, only the half that gains most is made, and so on.
+    """
+    moves = dict(sorted(moves.items(), key=lambda x: (-x[1][1], x[0])))
+    while moves:
+        tried = Classes(of.items, np.asarray(of.of), {w: k for w, (k, _) in moves.items()})
+        after = _pairs(texts, tried, of.count).astype(float)
+        if likelihood(after) >= likelihood(pair):
+            return tried, after
+        moves = dict(list(moves.items())[: len(moves) // 2])
+    return of, pair
+
+
 class Model:
     def __init__(self, classes: Classes, bigrams: np.ndarray, held: np.ndarray, distinct: np.ndarray, head: dict[bytes, int], smoothing: float = SMOOTHING) -> None:
         prior = (bigrams.sum(0) + 1) / (bigrams.sum() + len(held))
@@ -285,8 +311,7 @@ def train(texts: DataFrame, head: int = HEAD, classes: int = CLASSES, vocabulary
     # The most frequent words have been exchanged among themselves; the vocabulary's others still have their endings' classes.
     movable = [w.decode() for w in list(top)[:vocabulary] if w not in items.words]
     if movable:
-        of = Classes(items, np.asarray(of.of), moved(texts, movable, of, pair))
-        pair = _pairs(texts, of, of.count).astype(float)
+        of, pair = settled(texts, moved(texts, movable, of, pair), of, pair)
     held, distinct = class_totals(counts, of)
     return Model(of, pair, held, distinct, dict(list(top.items())[:head])), counts
 

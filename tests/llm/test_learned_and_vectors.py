@@ -307,3 +307,55 @@ def test_pipeline_on_odd_rows(spark):
             data = stage(spark, data, DATA)
             assert data.columns == docs.columns
         cp.STAGES[-1][1](spark, data, DATA).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_brown_moves_never_lower_the_likelihood(spark, seed):
+    """Words that often follow themselves: each move's gain is the exact one, the class the best, and all moves made together gain too."""
+    from collections import Counter
+
+    from procmatch.llm import lm_brown
+
+    rng = np.random.default_rng(seed)
+    names = [f"w{i}" for i in range(18)]
+    texts = []
+    for _ in range(25):
+        words, at = [], int(rng.integers(18))
+        for _ in range(30):
+            words.append(names[at])
+            at = at if rng.random() < 0.4 else int(min(rng.exponential(4), 17))
+        texts.append(" ".join(words))
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    items = lm_brown.Items(["\n", "w0", "w1", "w2"], ["w9"])
+    classes = lm_brown.Classes(items, np.array([0, 1, 2, 3, 1, 2]))
+    pair = lm_brown._pairs(table, classes, 4).astype(float)
+
+    def brute(of):
+        n = Counter()
+        for t in texts:
+            ks = [of(w) for w in [b"\n", *lm_brown.tokens(t)]]
+            n.update(zip(ks, ks[1:], strict=False))
+        out = np.zeros((4, 4))
+        for (a, b), k in n.items():
+            out[a, b] = k
+        return out
+
+    assert (brute(classes) == pair).all()
+    words = names[3:]
+    moves = lm_brown.moved(table, words, classes, pair)
+    before = lm_brown.likelihood(pair)
+    for w in words:
+        alone = {k: lm_brown.likelihood(brute(lm_brown.Classes(items, np.array(classes.of), {w.encode(): k}))) - before for k in range(1, 4)}
+        best = max(alone.values())
+        if w.encode() in moves:
+            k, gain = moves[w.encode()]
+            assert gain == pytest.approx(alone[k], abs=1e-6) and gain == pytest.approx(best, abs=1e-6)
+        else:
+            assert best <= 1e-6
+    assert moves
+    of, after = lm_brown.settled(table, moves, classes, pair)
+    assert (after == brute(of)).all() and lm_brown.likelihood(after) >= before
+    # Moves that lose together are let go: here all words swap classes with each other.
+    worse = {w.encode(): (1 + i % 3, 1.0) for i, w in enumerate(words)}
+    of, after = lm_brown.settled(table, worse, of, after)
+    assert lm_brown.likelihood(after) >= before
