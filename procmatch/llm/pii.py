@@ -8,8 +8,9 @@ entities get equal surrogates in all documents (coreference).
   country code and a card's first digit and check digit's validity stay.
 * E-mail addresses, IBANs and secrets keep their shape: letters become letters of the same case, digits digits, hex hex; a domain maps as a
   whole and keeps its top-level part.
-* Names keep their title, which gives the gender (some titles give none); names are built from syllables of the script, given names with an ending of
-  the gender; words map one by one, so "Mr John Smith" and "Mr Smith" keep their common part. Latin, Cyrillic and Greek have syllables of
+* Names keep their title, which gives the gender; where it gives none, the titles of the same name's other mentions in the table do, if they agree. Names are built from syllables of the script, given names with an ending of
+  the gender; words map one by one, so "Mr John Smith" and "Mr Smith" keep their common part. Not found are names in scripts
+  without capitals, initials, names that begin small ("van Dyke") or are all capitals, and names two spaces after their title. Latin, Cyrillic and Greek have syllables of
   their own; other scripts with capital letters get Latin ones. Where a text names somebody in full, its further mentions of the full name without a
   title are replaced too; single words without a title are not.
 
@@ -30,6 +31,8 @@ from procmatch.llm.common import free_name, stored
 
 #: Members of a series before its words get longer.
 GROWS = 4
+#: A salt's part above it: 1 female, 2 male, for names whose title doesn't say so but whose gender another mention's title gives.
+GENDER = 1 << 20
 KINDS = ("secret", "email", "iban", "ip", "phone", "card", "name")
 
 # Titles by gender, endings of given names by gender and script, syllables by script.
@@ -54,7 +57,7 @@ _TITLE = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _NAME_WORD = r"\p{Lu}[\p{L}'’\-]{1,30}+"
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9\-_]{16,128}|(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{6,256}[\"']?)",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}|[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])",
@@ -62,7 +65,7 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0]{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
 # No find begins inside a word, so within words one look back is all that is done.
-_ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
+_ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
 #: Every find holds one of these characters or words; most texts that hold none are not searched.
 _SIGNS, _WORDS = "[0-9@=:_]", ["AKIA", "sk-", "Mr", "Ms", "Miss", "Mister", "Mme", "Mada", "Mlle", "Monsi", "Herr", "Frau", "Sr", "Seño", "оспо", "Dr", "Doctor", "Prof", "октор", "υρί", "ύριος"]
 _FULL_NAME = rf"^(?:{_TITLE})\.?[ \u00A0]{_NAME_WORD} "
@@ -86,7 +89,7 @@ def _shaped(text: Column, h: Column, hexadecimal: Column | None = None) -> Colum
         c = F.substring(text, i, F.lit(1))
         b = F.conv(F.substring(h, F.pmod(i * 2 - 2, F.lit(127)) + 1, F.lit(2)), 16, 10).cast("int")
         drawn = lambda first, n: F.char(F.lit(first) + F.pmod(b, F.lit(n)))
-        plain = F.when((c >= "a") & (c <= "z"), drawn(97, 26)).when((c >= "A") & (c <= "Z"), drawn(65, 26)).when((c >= "0") & (c <= "9"), drawn(48, 10)).otherwise(c)
+        plain = F.when((c >= "a") & (c <= "z"), drawn(97, 26)).when((c >= "A") & (c <= "Z"), drawn(65, 26)).when((c >= "0") & (c <= "9"), drawn(48, 10)).when(c.rlike(r"[\p{L}\p{N}]"), drawn(97, 26)).otherwise(c)
         return plain if hexadecimal is None else F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substring(h, F.pmod(i - 1, F.lit(128)) + 1, F.lit(1))).otherwise(plain)
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
@@ -189,9 +192,15 @@ def _syllables(h: Column, script: str, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(25))), lambda i: _draw(SYLLABLES[script], h, 4 * i + 1)), "")
 
 
-def _name(e: Column, key: str, salt: Column) -> Column:
+def _title(e: Column) -> tuple[Column, Column]:
+    """A name's title as it stands, and alone."""
     title = F.regexp_extract(e, rf"^(?:{_TITLE})\.?[ \u00A0]", 0)
-    bare = F.regexp_replace(title, r"[. \u00A0]", "")
+    return title, F.regexp_replace(title, r"[. \u00A0]", "")
+
+
+def _name(e: Column, key: str, salt: Column) -> Column:
+    (title, bare), given, salt = _title(e), F.floor(salt / GENDER), salt % GENDER
+    female, male = bare.isin(FEMALE_TITLES) | (given == 1), bare.isin(MALE_TITLES) | (given == 2)
 
     def words(ws: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
@@ -200,7 +209,7 @@ def _name(e: Column, key: str, salt: Column) -> Column:
             def drawn(h: Column) -> Column:
                 def of(script: str) -> Column:
                     ending = lambda gender: _draw(ENDINGS[gender, script], h, F.lit(1))
-                    given = F.concat(_syllables(h, script, F.lit(3)), F.when(bare.isin(FEMALE_TITLES), ending("female")).when(bare.isin(MALE_TITLES), ending("male")).otherwise(""))
+                    given = F.concat(_syllables(h, script, F.lit(3)), F.when(female, ending("female")).when(male, ending("male")).otherwise(""))
                     return F.initcap(F.when(last, _syllables(h, script, 4 + F.floor(salt / GROWS).cast("int"))).otherwise(given))
 
                 return F.when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(w.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
@@ -268,12 +277,22 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.where(_worth_searching(text)).select(F.explode(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).alias("entity"))
 
 
+def _with_gender(entities: DataFrame) -> DataFrame:
+    """``entities`` with a first ``salt``: 0, but for names whose title gives no gender the one that all other mentions' titles give."""
+    bare = _title(F.col("entity"))[1]
+    gender = F.when(bare.isin(FEMALE_TITLES), 1).when(bare.isin(MALE_TITLES), 2)
+    named = F.when(F.col("kind") == "name", gender)
+    known = entities.select("canon", named.alias("g")).where("g is not null").groupBy("canon").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low = high").select(F.col("canon").alias("same"), "low")
+    both = entities.join(known, (F.col("canon") == F.col("same")) & (F.col("kind") == "name") & gender.isNull(), "left")
+    return both.select("entity", "kind", "canon", (F.coalesce("low", F.lit(0)) * GENDER).cast("int").alias("salt"))
+
+
 def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``(entity, salt)`` for the entities of hashed kinds whose first surrogate is another one's too, or an entity of the table."""
+    """``(entity, salt)`` for the entities of hashed kinds whose first surrogate is another one's too, or an entity of the table, and for names whose gender another mention gives."""
     kind = kind_of(F.col("entity"))
     all_ = stored(entities(docs, text_col).distinct().withColumns({"kind": kind, "canon": canonical(F.col("entity"))}), "entities")
     hashed = all_.where(F.col("kind").isin("email", "secret", "iban", "name"))
-    now = stored(hashed.withColumn("salt", F.lit(0)).withColumn("new", _let(surrogate(F.col("entity"), key, F.lit(0)), canonical)), "surrogates")
+    now = stored(_with_gender(hashed).withColumn("new", _let(surrogate(F.col("entity"), key, F.col("salt")), canonical)), "surrogates")
     while True:
         meets = now.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count_distinct("canon").alias("n")).where("n > 1")
         real = now.select("kind", "new").distinct().join(all_.select("kind", F.col("canon").alias("new")).distinct(), ["kind", "new"], "left_semi").select("kind", "new", F.lit("").alias("first"), F.lit(2).cast("long").alias("n"))

@@ -424,3 +424,25 @@ def test_language_model_beats_base_on_held_out_text(spark):
     held = r[r["held_out"]]
     assert len(held) and held["score"].sum() > held["base_score"].sum()
     assert all(held["held_out"] == [zlib.crc32(str(i).encode()) % 7 == 2 for i in held["doc_id"]])
+
+
+def test_one_person_under_several_titles_is_one(spark):
+    """The gender of a name is the table's, not a title's; conflicting titles stay two readings; mentions keep their common words."""
+    from procmatch.llm import pii
+
+    texts = [(1, "Dr John Smith; Mr John Smith; John Smith."), (2, "Prof. John Smith wrote to Dr Anna Weber."), (3, "Frau Anna Weber"), (4, "Dr Kim Lee"), (5, "Mr Kim Lee and Mrs Kim Lee")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    first = got[1].removeprefix("Dr ").split(";")[0]
+    assert got[1] == f"Dr {first}; Mr {first}; {first}." and got[2].startswith(f"Prof. {first} wrote")
+    anna = got[3].removeprefix("Frau ")
+    assert got[2].endswith(f"Dr {anna}.") and first != anna and "John" not in str(got) and "Weber" not in str(got)
+    assert got[4].split()[2] == got[5].split()[2] == got[5].split()[-1]
+
+
+def test_addresses_are_found_whole(spark):
+    from procmatch.llm import pii
+
+    rows = [(1, "jörg@example.org wrote to ñandú.x@example.org"), (2, "Jörg@Example.org")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a, b = got[1].split(" wrote to ")
+    assert "jö" not in a and "ñ" not in b and "ú" not in b and a.lower() == got[2].lower() and len(a) == len(rows[0][1].split()[0]) and a.endswith(".org")
