@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import stored
+from procmatch.llm.common import free_name, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Four numbers of 64 bits are a hash.
@@ -74,7 +74,13 @@ def render(turns: DataFrame, start: str = START, end: str = END, keys: tuple[str
 
     A conversation's chat is one value, so its turns meet in one task here and only here.
     """
-    return _rendered(_turns(turns), start, end) if not keys else _rendered(_turns(turns).join(turns.select("conv_id", *keys).distinct(), "conv_id"), start, end, keys)
+    rows = _turns(turns)
+    if not keys:
+        return _rendered(rows, start, end)
+    own = [free_name(f"key_{i}", rows.columns) for i in range(len(keys))]
+    values = turns.select(F.col("conv_id").alias("of"), *[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)]).distinct()
+    joined = rows.join(values, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    return _rendered(joined, start, end, tuple(own)).toDF("conv_id", *keys, "chat")
 
 
 def _rendered(rows: DataFrame, start: str, end: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmatch.llm.common import new_path, stored
+from procmatch.llm.common import join_spread, new_path, stored
 
 #: Ranges with no more bytes than this between them are read at once; no read is longer than READ.
 GAP, READ = 64 << 10, 8 << 20
@@ -45,8 +45,9 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     key = ["payload_digest", "payload_bytes"]
     rows = pages.select("page_id", "url", html.alias("payload"), base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     slim = rows.select("page_id", *key).where(F.col("payload_bytes") >= min_bytes)
-    groups = slim.groupBy(*key).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
-    revisits = slim.join(groups.select(*key, "refers_to"), key).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    slim = slim.withColumn("_key", F.concat_ws(":", *key))
+    groups = slim.groupBy("_key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
+    revisits = join_spread(slim, groups, "_key").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "refers_to").distinct()
     # By page and payload: a page's rows are each judged by their own payload, and payloads that many pages share don't meet in one task.
     own = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))

@@ -446,3 +446,12 @@ def test_addresses_are_found_whole(spark):
     got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     a, b = got[1].split(" wrote to ")
     assert "jö" not in a and "ñ" not in b and "ú" not in b and a.lower() == got[2].lower() and len(a) == len(rows[0][1].split()[0]) and a.endswith(".org")
+
+
+def test_rendering_keeps_keys_of_any_name_and_the_nameless_conversation(spark):
+    from procmatch.llm import chat
+
+    rows = [("a", 1, "user", "hi", 7, "x"), (None, 1, "user", "yo", 8, "y"), (None, 2, "assistant", "hm", 8, "y")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, at int, of string")
+    got = {(r["conv_id"], r["at"], r["of"]): r["chat"].count("<|im_start|>") for r in chat.render(turns, keys=("at", "of")).collect()}
+    assert got == {("a", 7, "x"): 1, (None, 8, "y"): 2}
