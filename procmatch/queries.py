@@ -964,9 +964,10 @@ def relevance_judgements(spark, sf):
 # --- P6: streams --------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(rf"""SELECT doc_id, CAST(length({norm_sql('text')}) AS INT) AS n_normal, CAST(len({tokens_sql('text')}) AS INT) AS n_tokens, {NAME_SQL} AS name, {CATEGORY_SQL} AS category, CAST(len([x FOR x, i IN every IF list_position([y.s FOR y IN every], x.s) = i]) AS INT) AS n_attributes, CAST(len([m FOR m, i IN ms IF list_position([upper(x) FOR x IN ms], upper(m)) = i]) AS INT) AS n_mentions
+FROM (SELECT *, {ATTRIBUTES_SQL} AS every, [regexp_replace(trim(m), '\s+', ' ', 'g') FOR m IN regexp_extract_all(text, '{extract.MENTION}')] AS ms FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def stream_enrich(spark, sf):
-    """The documents as a stream, to the end; what it appended is read back. The tests compare it with the batch form."""
+    """The documents as a stream, to the end; what it appended is read back."""
     out = shared.new_path(spark, "stream")
     docs = table(spark, sf, "documents")
     source = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")  # a pattern: the table may be one file
