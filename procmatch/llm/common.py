@@ -96,12 +96,13 @@ HOT = 1000
 def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``count`` how many of ``rows`` the key may have.
 
-    Rows of hot keys meet a broadcast table of fewer than ``HOT`` rows and stay where they are; all others are shuffled by the key.
+    Rows of hot keys meet a broadcast table of fewer than ``HOT`` rows and stay where they are; all others are shuffled by the key. Which
+    keys are hot is a filter on their values, not a join.
     """
     table = stored(table, "by-key")
     total, most = table.agg(F.sum(count), F.max(count)).first()
     cut = (total or 0) // HOT + 1
     if (most or 0) <= cut:
         return rows.join(table, key)
-    hot = F.broadcast(table.where(F.col(count) > cut))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= cut), key))
+    hot = F.col(key).isin([r[key] for r in table.where(F.col(count) > cut).select(key).collect()])
+    return rows.where(hot).join(F.broadcast(table.where(F.col(count) > cut)), key).unionByName(rows.where(~hot).join(table.where(F.col(count) <= cut), key))

@@ -35,7 +35,7 @@ from procmatch.llm.common import free_name, join_spread, slices, stored, tidied
 from procmatch.llm.components import connected_components
 
 K, PER_SKETCH, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
-#: Bins of the word pairs that stand for a text in step 3; rows of a bucket that are compared with as many others at once.
+#: Bins of the word pairs, and as many of the words, that stand for a text in step 3; rows of a bucket that are compared with as many others at once.
 BINS, PART = 512, 2000
 
 _SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -99,10 +99,10 @@ def sketches(grams: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH) ->
 
 
 def bag(codes: np.ndarray) -> np.ndarray:
-    """How many of the word pairs (each word with its next) fall into each bin."""
+    """How many of the word pairs (each word with its next) fall into each bin, and then how many of the words."""
     h = codes.astype(np.uint64)
-    h = _mixed(h[:-1] * _MIX[1] + h[1:]) if len(h) > 1 else h[:0]
-    return np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    both = _mixed(h[:-1] * _MIX[1] + h[1:]) if len(h) > 1 else h[:0], _mixed(h)
+    return np.concatenate([np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS) for x in both])
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,8 +175,8 @@ def _apart(now: DataFrame) -> DataFrame:
 def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """The pairs ``(a, b)`` of different classes in a bucket whose lengths and word pairs allow the similarity; of equal ones one.
 
-    Edits touch two word pairs each, so similar texts of n words share all but twice their edits of n - 1. A bucket's rows are
-    compared block by block, or part by part where they are more than ``part``.
+    An edit touches one word and two word pairs, so similar texts of n words share all but as many words as they have edits, and all but twice as many of n - 1
+    pairs. A bucket's rows are compared block by block, or part by part where they are more than ``part``.
     """
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -204,11 +204,13 @@ def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY
                 if keys[x, 1] == keys[x, 2]:
                     ok &= i[:, None] < j[None, :]
                 u, v = np.nonzero(ok)
-                for k in range(0, len(u), 20_000):
-                    r, s = i[u[k : k + 20_000]], j[v[k : k + 20_000]]
+                for k in range(0, len(u), 10_000):
+                    r, s = i[u[k : k + 10_000]], j[v[k : k + 10_000]]
                     longer = np.maximum(n[r], n[s])
+                    pairs, single = np.minimum(held[r], held[s]).reshape(len(r), 2, BINS).sum(2, dtype=np.int64).T
+                    edits = allowed(longer, similarity)
                     # A full bin may hold more than it says, but only in texts of more words than that.
-                    good = (np.minimum(held[r], held[s]).sum(1, dtype=np.int64) >= longer - 1 - 2 * allowed(longer, similarity)) | (longer > FULL)
+                    good = (pairs >= longer - 1 - 2 * edits) & (single >= longer - edits) | (longer > FULL)
                     found.append((ids[r[good]], ids[s[good]]))
         a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
