@@ -148,11 +148,10 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "codesa", "codesb").mapInArrow(tidied(run), "a long, b long")
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Different pairs ``(a, b)``, the smaller id first, whose numbers of words allow the similarity."""
-    side = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9).select("a", "b")
+def _fitting(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Different pairs ``(a, b)``, the smaller id first, of ``(x, y)``, structs of an id and its number of words, whose numbers of words allow the similarity."""
+    near = pairs.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9)
+    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _with_class(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -228,22 +227,23 @@ def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY
 
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Components ``(node, component)`` and the links ``(a, b)`` that were verified. ``texts``: ``sketched``, one row for each text."""
-    rows = texts.select("id", F.explode("bands").alias("band"))
-    lead = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    live = stored(join_spread(rows, lead, "band").select("band", "id", "lead"), "buckets")
+    own = F.struct("id", "n")
+    rows = texts.select("id", F.col("n").alias("words"), F.explode("bands").alias("band"))
+    lead = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("id", F.col("words").alias("n"))).alias("lead")).where("n > 1")
+    live = stored(join_spread(rows, lead, "band").select("band", "id", F.col("words").alias("n"), "lead"), "buckets")
     codes = stored(texts.select("id", "n", "codes").join(live.select("id").distinct(), "id", "left_semi"), "codes")
-    pairs = stored(_fitting(live.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), codes, similarity), "pairs")
+    pairs = stored(_fitting(live.where("id != lead.id").select(own.alias("x"), F.col("lead").alias("y")), similarity), "pairs")
     found = stored(similar(pairs, codes, similarity), "links")
     parts = stored(connected_components(found), "parts")
 
-    rest = stored(_apart(_with_class(live.select("band", "id"), parts)), "apart")
-    lead = rest.groupBy("band").agg(F.min_by(F.struct("id", "class"), F.xxhash64("id", "band")).alias("lead"), F.count("*").alias("n"))
-    other = join_spread(rest, lead, "band").where(F.col("class") != F.col("lead.class")).select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
-    second = stored(_fitting(other, codes, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(_apart(_with_class(live.select("band", "id", F.col("n").alias("words")), parts)), "apart")
+    lead = rest.groupBy("band").agg(F.min_by(F.struct("id", F.col("words").alias("n"), "class"), F.xxhash64("id", "band")).alias("lead"), F.count("*").alias("n"))
+    other = join_spread(rest, lead, "band").where(F.col("class") != F.col("lead.class")).select(F.struct("id", F.col("words").alias("n")).alias("x"), F.struct("lead.id", "lead.n").alias("y"))
+    second = stored(_fitting(other, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = stored(similar(second, codes, similarity), "links")
     parts = _merged(parts, more)
 
-    rest = stored(_apart(_with_class(rest.drop("class"), parts)).join(codes.select("id", "n"), "id"), "apart")
+    rest = stored(_apart(_with_class(rest.drop("class"), parts)).withColumnRenamed("words", "n"), "apart")
     last = stored(compatible(rest, codes, similarity).join(pairs.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     final = stored(similar(last, codes, similarity), "links")
     return _merged(parts, final), found.unionByName(more).unionByName(final)
