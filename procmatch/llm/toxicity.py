@@ -2,8 +2,11 @@
 
 The lexicon comes from labelled documents, ``MAX_LABELLED`` at most, chosen by hash, which bounds it: words that toxic documents hold in several different
 surroundings and others hardly ever, and beginnings that several such words share. Levenshtein automata of a document's words run down a trie of the terms, so misspelled terms are
-found with the edits that they need (none for words under five letters, one below nine, else two); terms below the weight ``FUZZY`` are found without edits only. A find counts less the more edits it has, and less inside quotation marks
-or near words of reporting; a logistic curve over the sum of different terms' weights, fitted to the labelled documents, gives the score.
+found with the edits that they need (none for words under five letters, one below nine, else two); terms below the weight ``FUZZY`` are found without edits only. A find counts less the more edits it has, and less inside a quotation of any length
+or near words of reporting; a logistic curve over the sum of different terms' weights gives the score.
+
+What a term's odds lose for each standard error is chosen from ``PENALTIES`` on ``FOLDS`` parts of the labelled sample: each part is weighed by lexicons learnt from the others, and the penalty
+with the least log loss stays (of equal ones the larger); the curve is fitted to those weights. Equal texts are in one part. Surroundings are counted exactly, told apart by 64 bits of a hash.
 
 All documents are scored whole. Null and empty texts have no finds and score as such documents do; a sample without both labels leaves
 the seed terms with the prior curve; repeated rows score alike; extra columns stay or are ignored as stated.
@@ -13,11 +16,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procmatch.llm.common import free_name, id_remainder, labelled_sample, slices, stored, tidied
@@ -30,8 +33,8 @@ FUZZY = 2.0
 
 #: Letters of the stems that stand for all words which begin with them.
 STEMS = (6, 5, 4)
-#: What the odds of a term lose for each standard error.
-PENALTY = 1.5
+#: What the odds of a term may lose for each standard error, and the parts of the labelled sample on which that is chosen.
+PENALTIES, FOLDS = (0.5, 1.0, 1.5, 2.0, 3.0), 3
 
 # Common English insults, known before any label is seen, and words and marks of reported speech.
 SEEDS = ["clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
@@ -142,7 +145,7 @@ class Trie:
 
 
 def enclosed(pieces: list[str]) -> list[bool]:
-    """Of each piece, whether the nearest mark before it, at most ``CONTEXT`` pieces away, opens a quotation that one as near after it ends.
+    """Of each piece, whether the nearest mark before it opens a quotation that one after it ends.
 
     Marks that look alike at both ends open if an even number of them came before.
     """
@@ -157,7 +160,7 @@ def enclosed(pieces: list[str]) -> list[bool]:
         while k < len(marks) and marks[k] < i:
             k += 1
         if 0 < k < len(marks) and marks[k] != i:
-            out[i] = opens[k - 1] and i - marks[k - 1] <= CONTEXT and marks[k] - i <= CONTEXT
+            out[i] = opens[k - 1]
     return out
 
 
@@ -242,59 +245,103 @@ def fit_curve(evidence: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.1))
 
 
+def log_loss(curve: tuple[float, float], evidence: np.ndarray, labels: np.ndarray) -> float:
+    z = np.clip(curve[0] + curve[1] * evidence, -30, 30) * np.where(labels > 0, 1, -1)
+    return float(np.log1p(np.exp(-z)).mean())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = MAX_LABELLED) -> Model:
     sample = labelled_sample(labels, label, bound)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
 
+    texts = texts.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows: dict[tuple[str, int, str], None] = {}
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            rows: dict[tuple[str, int, int, str], None] = {}
+            for text, y, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 ws = [w.decode() for w in words(text)]
                 for a, w, b in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
-                    rows[w, y, f"{a} {b}"] = None
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], (pa.string(), pa.int32(), pa.string()), strict=True)], names=["word", "label", "around"])
-
-    # Copies repeat a word in the same surroundings, so different ones are counted, not documents.
-    around = texts.mapInArrow(tidied(run), "word string, label int, around string")
-    seen = around.groupBy("word").agg(*[F.approx_count_distinct(F.when(F.col("label") == y, F.col("around")), 0.1).alias(f"n{y}") for y in (0, 1)])
-    seen = stored(seen, "toxic-words")
-    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    weights = {w: 2.0 for w in SEEDS}
-    innocent: set[str] = set()
-    if n0 and n1:
-        # Few surroundings say little: the odds count less by their standard error, about one over the root of the number.
-        odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1)) - PENALTY / F.sqrt("n1")
-        terms = seen.where((F.col("n1") >= 2) & (F.length("word") >= 3)).withColumn("odds", odds)
-        weights |= {r["word"]: min(4.0, r["odds"] / 2) for r in terms.where("odds > 2.5").select("word", "odds").collect()}
-        # Word formation: beginnings that many different words of toxic documents have, and hardly any others.
-        cut = F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])
-        stems = seen.select(F.explode(F.array_compact(cut)).alias("stem"), "n0", "n1").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n1") > F.col("n0")).alias("forms"))
-        stems = stems.where("n1 >= 4 and forms >= 3").withColumn("odds", odds)
-        weights |= {r["stem"] + "*": min(4.0, r["odds"] / 2) for r in stems.where("odds > 3").select("stem", "odds").collect()}
-        # Known misspellings' opposite: words near a term that documents without toxicity hold.
-        draft = docs.sparkSession.sparkContext.broadcast(Model(weights, set(), PRIOR))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if w not in draft.value.weights and len(w) > 3 and draft.value.trie.find(w)], pa.string())], names=["word"])
-
-        innocent = {r["word"] for r in seen.where("n0 >= 1 and n0 >= n1").select("word").mapInArrow(tidied(near), "word string").collect()}
-        draft.destroy()
-        weights = {w: v for w, v in weights.items() if w not in innocent}
-    model = Model(weights, innocent, PRIOR)
-    if n0 and n1:
-        draft = docs.sparkSession.sparkContext.broadcast(model)
-
-        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([draft.value.evidence(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("label")], names=["evidence", "label"])
-
-        rows = texts.mapInArrow(tidied(weigh), "evidence double, label int").toPandas()
-        draft.destroy()
-        model.curve = fit_curve(rows["evidence"].to_numpy(), rows["label"].to_numpy(float))
-    return model
+                    rows[w, y, fold, f"{a} {b}"] = None
+            types = pa.string(), pa.int32(), pa.int32(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [()] * 4, types, strict=True)], names=["word", "label", "fold", "around"])
+
+    # Copies repeat a word in the same surroundings, so different ones are counted, not documents; for each part also those outside it.
+    around = texts.mapInArrow(tidied(run), "word string, label int, fold int, around string")
+    marks = around.groupBy("word", "label", F.xxhash64("around").alias("around")).agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    outside = lambda f: F.lit(True) if f < 0 else (F.col("low") != f) | (F.col("high") != f)
+    parts = range(-1, FOLDS)  # -1: nothing left out
+    seen = stored(marks.groupBy("word").agg(*[F.count_if((F.col("label") == y) & outside(f)).alias(f"n{y}_{f + 1}") for f in parts for y in (0, 1)]), "toxic-words")
+    sizes = {(r["label"], r["fold"]): r["n"] for r in texts.groupBy("label", "fold").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    left = {(y, f): sum(n for (label, fold), n in sizes.items() if label == y and fold != f) for f in parts for y in (0, 1)}
+    if not (left[0, -1] and left[1, -1]):
+        return Model({w: 2.0 for w in SEEDS}, set(), PRIOR)
+    able = [f for f in parts if left[0, f] and left[1, f]]
+
+    # Few surroundings say little: the odds count less by their standard error, about one over the root of the number.
+    def odds(f: int) -> Column:
+        n0, n1 = F.col(f"n0_{f + 1}"), F.col(f"n1_{f + 1}")
+        return F.log((n1 + 0.5) / (left[1, f] + 1)) - F.log((n0 + 0.5) / (left[0, f] + 1))
+
+    def candidates(rows: DataFrame, name: str, allowed: Callable[[int], Column], least: float) -> list[tuple[str, int, float, float]]:
+        """(term, part, odds, standard error) of all that the smallest penalty leaves above ``least``."""
+        at = F.explode(F.array_compact(F.array(*[F.when(allowed(f), F.struct(F.lit(f).alias("f"), odds(f).alias("odds"), F.pow(f"n1_{f + 1}", F.lit(-0.5)).alias("error"))) for f in able])))
+        got = rows.select(F.col(name).alias("term"), at.alias("at")).where(F.col("at.odds") - min(PENALTIES) * F.col("at.error") > least)
+        return [tuple(r) for r in got.select("term", "at.*").collect()]
+
+    terms = candidates(seen.where(F.length("word") >= 3), "word", lambda f: F.col(f"n1_{f + 1}") >= 2, 2.5)
+    # Word formation: beginnings that many different words of toxic documents have, and hardly any others.
+    cut = F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])
+    counts = [f"n{y}_{f + 1}" for f in parts for y in (0, 1)]
+    forms = [F.count_if(F.col(f"n1_{f + 1}") > F.col(f"n0_{f + 1}")).alias(f"forms_{f + 1}") for f in parts]
+    stems = seen.select(F.explode(F.array_compact(cut)).alias("stem"), *counts).groupBy("stem").agg(*[F.sum(c).alias(c) for c in counts], *forms)
+    stems = candidates(stems, "stem", lambda f: (F.col(f"n1_{f + 1}") >= 4) & (F.col(f"forms_{f + 1}") >= 3), 3.0)
+
+    def lexicon(f: int, penalty: float) -> dict[str, float]:
+        out = {w: 2.0 for w in SEEDS}
+        for found, least, end in ((terms, 2.5, ""), (stems, 3.0, "*")):
+            out |= {t + end: min(4.0, (o - penalty * e) / 2) for t, g, o, e in found if g == f and o - penalty * e > least}
+        return out
+
+    # Known misspellings' opposite: words near a term of any lexicon, or terms, that documents without toxicity hold as often.
+    widest: dict[str, float] = {}
+    for f in able:
+        for t, v in lexicon(f, min(PENALTIES)).items():
+            widest[t] = max(v, widest.get(t, v))
+    draft = docs.sparkSession.sparkContext.broadcast(Model(widest, set(), PRIOR))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ok = pa.array([w not in draft.value.weights and len(w) > 3 and draft.value.trie.find(w) is not None for w in batch.column(0).to_pylist()], pa.bool_())
+            yield batch.filter(ok)
+
+    common = lambda f: (F.col(f"n0_{f + 1}") >= 1) & (F.col(f"n0_{f + 1}") >= F.col(f"n1_{f + 1}"))
+    flags = seen.select("word", F.array_compact(F.array(*[F.when(common(f), F.lit(f)) for f in able])).alias("parts")).where(F.size("parts") > 0)
+    innocent = [(r["word"], set(r["parts"])) for r in flags.mapInArrow(tidied(near), "word string, parts array<int>").collect()]
+    draft.destroy()
+
+    def built(f: int, penalty: float, curve: tuple[float, float] = PRIOR) -> Model:
+        # A part whose rest lacks a label is weighed by the seed terms.
+        return Model(lexicon(f, penalty), {w for w, at in innocent if f in at}, curve)
+
+    models = docs.sparkSession.sparkContext.broadcast([[built(f, p) for p in PENALTIES] for f in range(FOLDS)])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            got = [[m.evidence(t) for m in models.value[f]] for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("label")], names=["evidence", "label"])
+        for m in (m for f in models.value for m in f):
+            m.known.clear()
+
+    rows = texts.mapInArrow(tidied(weigh), "evidence array<double>, label int").toPandas()
+    models.destroy()
+    evidence, y = np.stack(rows["evidence"]), rows["label"].to_numpy(float)
+    # In a defined order, so that sums don't depend on that of the rows.
+    order = np.lexsort((*evidence.T, y))
+    curves = [fit_curve(e, y[order]) for e in evidence[order].T]
+    losses = [log_loss(c, e, y[order]) for c, e in zip(curves, evidence[order].T, strict=True)]
+    best = min(range(len(PENALTIES)), key=lambda k: (round(losses[k], 9), -PENALTIES[k]))
+    return built(-1, PENALTIES[best], curves[best])
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "toxicity", text_col: str = "text") -> DataFrame:

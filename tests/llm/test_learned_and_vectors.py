@@ -141,7 +141,7 @@ def test_learners_without_labels(spark):
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(1)
     terms = rng.random((60, quality.TERMS)).astype(np.float32) * (rng.random((60, quality.TERMS)) < 0.05)
-    v = quality.Voters(list(range(40)), terms[:40], np.arange(40) % 2)
+    v = quality.Voters(terms[:40], np.arange(40) % 2)
     got = v.vote(terms)
     for i in range(60):
         x = v.project(terms[i : i + 1])[0]
@@ -150,6 +150,81 @@ def test_neighbours_against_brute_force(spark):
         assert got[i] == pytest.approx((sum(a * (j % 2) for a, (_, j) in zip(w, near, strict=True)) + 1e-3 * v.prior) / (sum(w) + 1e-3), abs=1e-4)
 
 
+def test_votes_with_ties_strings_and_repeated_ids(spark):
+    v = quality.Voters(np.ones((60, quality.TERMS), np.float32), (np.arange(60) < quality.NEIGHBOURS).astype(int))
+    assert v.vote(np.ones((1, quality.TERMS), np.float32))[0] > 0.99  # all are equal, and the first of them vote
+    docs = spark.createDataFrame([("a", "fine words here"), ("a", "other words"), ("b", "B@D!! w0rds"), ("c", None), ("d", "")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), ("d", 0)], "doc_id string, quality int")
+    fitted = [quality.fit(d, labels) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert (fitted[0].vectors == fitted[1].vectors).all()
+    assert quality.score(docs, fitted[0]).count() == 5
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    rng, common = np.random.default_rng(3), [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(common if i % 2 else common[20:] + [x + "#7" for x in common[:20]], 30)) for i in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op5_quality_neighbours"](spark, str(tmp_path)).collect()}
+    learn = sorted((i for i in range(80) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: zlib.crc32(str(i).encode()))
+    m = quality.matrix(texts)
+    idf = np.log((len(learn) + 1) / ((m[learn] != 0).sum(0) + 1)) + 1
+    expected = {}
+    for weight in quality.WORD_WEIGHTS:
+        x = m * idf * np.where(np.arange(quality.TERMS) < quality.SHAPES, 1, weight)
+        v = x @ np.linalg.svd(x[learn], full_matrices=False)[2][: quality.RANK].T
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        prior = np.mean([i % 2 for i in learn])
+
+        def vote(i, others):
+            near = sorted(((float(v[i] @ v[j]), j) for j in others), reverse=True)[: quality.NEIGHBOURS]
+            w = [max(s, 0) ** quality.POWER for s, _ in near]
+            return (sum(a * (j % 2) for a, (_, j) in zip(w, near, strict=True)) + 1e-3 * prior) / (sum(w) + 1e-3)
+
+        loss = -np.mean([np.log(p if i % 2 else 1 - p) for i in learn for p in [np.clip(vote(i, [j for j in learn if j != i]), 1e-6, 1 - 1e-6)]])
+        expected[loss] = [vote(i, learn) for i in range(80)]
+    best = expected[min(expected)]
+    assert all(got[i] == pytest.approx(best[i], abs=2e-3) for i in range(80))
+
+
+def test_quotations_of_any_length():
+    pieces = lambda t: toxicity._PIECE.findall(t.lower())
+    text = 'he wrote "we all know that after so many long years of work this one is an idiot and nothing else at all" and left the idiot'
+    at = [i for i, p in enumerate(pieces(text)) if p == "idiot"]
+    assert [toxicity.enclosed(pieces(text))[i] for i in at] == [True, False]
+    assert not any(toxicity.enclosed(pieces('an idiot with a 5" pipe')))
+
+
+def test_lexicon_against_brute_force(spark):
+    rng, plain = np.random.default_rng(5), [f"plain{chr(97 + i)}{chr(97 + i // 2)}" for i in range(26)]
+    rows = []
+    for i in range(240):
+        ws = list(rng.choice(plain, 25))
+        if i % 2:
+            ws[int(rng.integers(1, 24))] = ["zorgling", "quaffter"][i // 2 % 2]
+        rows.append((i, " ".join(ws), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    sizes = [len({t for _, t, y in learn if y == label}) for label in (0, 1)]
+    around = {}
+    for _, t, y in learn:
+        ws = t.split()
+        for a, w, b in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
+            around.setdefault(w, (set(), set()))[y].add((a, b))
+    odds = {w: np.log((len(p) + 0.5) / (sizes[1] + 1)) - np.log((len(n) + 0.5) / (sizes[0] + 1)) for w, (n, p) in around.items()}
+    for penalty in toxicity.PENALTIES:
+        expected = {w: min(4.0, (o - penalty * len(around[w][1]) ** -0.5) / 2) for w, o in odds.items() if len(around[w][1]) >= 2 and o - penalty * len(around[w][1]) ** -0.5 > 2.5}
+        if {w: v for w, v in model.weights.items() if w not in toxicity.SEEDS and w[-1] != "*"} == pytest.approx(expected):
+            break
+    else:
+        raise AssertionError(model.weights)
+    assert {"zorgling", "quaffter"} <= set(expected)
+    scored = toxicity.score(docs, model).toPandas().set_index("doc_id")["predicted"]
+    assert all(scored[i] == y for i, _, y in rows)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
