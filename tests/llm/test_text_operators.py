@@ -416,7 +416,34 @@ def test_words_move_by_their_own_neighbours(spark):
     of = lm_brown.Classes(items, np.array([0, 1, 1, 1, 2, 2, 2, 3, 1, 1]))
     pair = lm_brown._pairs(texts, of, of.count)
     assert pair.sum() == sum(r["c"] for r in counts) and pair[0, 1] == 180 + 6 + 6 and pair[3, 0] == len(lines)
-    assert lm_brown.moved(texts, ["nimba", "lomba"], of, pair) == {b"nimba": 1, b"lomba": 2}
+    moves = lm_brown.moved(texts, ["nimba", "lomba"], of, pair)
+    assert {w: k for w, (k, _) in moves.items()} == {b"lomba": 2}  # 'nimba' is where it belongs
+    after, _ = lm_brown.settled(texts, moves, of, pair)
+    assert (after(b"nimba"), after(b"lomba")) == (1, 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moves_never_lower_the_likelihood(spark, seed):
+    """Words that often follow themselves; each gain is the difference that the move makes alone, and moves made together are taken back until they gain."""
+    rng, vocabulary = np.random.default_rng(seed), [f"w{i}" for i in range(14)]
+    lines = []
+    for _ in range(60):
+        line = []
+        for w in rng.choice(vocabulary, 8):
+            line += [w] * int(rng.integers(1, 4))
+        lines.append(" ".join(line))
+    texts = spark.createDataFrame([(x,) for x in lines], "text string")
+    start = np.concatenate([[0], rng.integers(1, 5, len(vocabulary)), [4]])
+    of = lm_brown.Classes(lm_brown.Items(["\n", *vocabulary], []), start)
+    pair = lm_brown._pairs(texts, of, of.count)
+    before = lm_brown.likelihood(pair)
+    moves = lm_brown.moved(texts, vocabulary, of, pair)
+    assert moves
+    for w, (k, gain) in moves.items():
+        alone = lm_brown._pairs(texts, lm_brown.Classes(of.items, start, {w: k}), of.count)
+        assert gain == pytest.approx(lm_brown.likelihood(alone) - before)
+    after, table = lm_brown.settled(texts, moves, of, pair)
+    assert lm_brown.likelihood(table) >= before and (table == lm_brown._pairs(texts, after, of.count)).all()
 
 
 def test_language_model_beats_base_on_held_out_text(spark):
