@@ -21,6 +21,7 @@ texts are aligned whole; an empty table gives no rows; extra columns stay as the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ from procmatch.llm.components import connected_components
 K, PER_SKETCH, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
 #: Bins of the word pairs, and as many of the words, that stand for a text in step 3; rows of a bucket that are compared with as many others at once.
 BINS, PART = 512, 2000
+#: Bins of lengths for the ratio of lengths that the similarity allows.
+LENGTHS = 3
 
 _SEPARATORS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -166,9 +169,17 @@ def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
     return stored(moved.unionByName(up.join(parts.select("node"), "node", "left_anti")), "parts")
 
 
-def _apart(now: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold different classes. ``now``: ``(band, id, class)``."""
-    return now.join(now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band"), "band", "left_semi")
+def _apart(now: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows whose bucket holds another class among the lengths that the similarity allows, more or less; all others have nothing to be compared with. ``now``: ``(band, id, words, class)``.
+
+    Lengths fall into bins, ``LENGTHS`` of which are a little wider than the similarity, so texts that are similar lie at most so many bins from each other.
+    """
+    width = (1e-6 - math.log(similarity)) / LENGTHS
+    placed = now.withColumn("bin", F.floor(F.log(F.greatest("words", F.lit(1))) / width).cast("int"))
+    each = placed.groupBy("band", "bin").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    around = each.select("band", F.explode(F.sequence(F.col("bin") - LENGTHS, F.col("bin") + LENGTHS)).alias("bin"), "low", "high")
+    wanted = around.groupBy("band", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("band", "bin")
+    return placed.join(wanted, ["band", "bin"], "left_semi").drop("bin")
 
 
 def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
@@ -236,14 +247,14 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     found = stored(similar(pairs, codes, similarity), "links")
     parts = stored(connected_components(found), "parts")
 
-    rest = stored(_apart(_with_class(live.select("band", "id", F.col("n").alias("words")), parts)), "apart")
+    rest = stored(_apart(_with_class(live.select("band", "id", F.col("n").alias("words")), parts), similarity), "apart")
     lead = rest.groupBy("band").agg(F.min_by(F.struct("id", F.col("words").alias("n"), "class"), F.xxhash64("id", "band")).alias("lead"), F.count("*").alias("n"))
     other = join_spread(rest, lead, "band").where(F.col("class") != F.col("lead.class")).select(F.struct("id", F.col("words").alias("n")).alias("x"), F.struct("lead.id", "lead.n").alias("y"))
     second = stored(_fitting(other, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = stored(similar(second, codes, similarity), "links")
     parts = _merged(parts, more)
 
-    rest = stored(_apart(_with_class(rest.drop("class"), parts)).withColumnRenamed("words", "n"), "apart")
+    rest = stored(_apart(_with_class(rest.drop("class"), parts), similarity).withColumnRenamed("words", "n"), "apart")
     last = stored(compatible(rest, codes, similarity).join(pairs.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     final = stored(similar(last, codes, similarity), "links")
     return _merged(parts, final), found.unionByName(more).unionByName(final)
