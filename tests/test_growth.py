@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from procmatch import queries
-from procmatch.operators import blocks, containment, hybrid, network
+from procmatch.functions import extract, text
+from procmatch.operators import blocks, containment, fusion, hybrid, lexical, network, versions
 from procmatch.plans import pipelines
 
 
@@ -96,3 +97,24 @@ def test_hybrid_products_against_plain_sums():
         found.setdefault(r["query_id"], []).append(r["doc_id"])
     assert all(found.get(q, [])[:5] == best[q] for q in range(n))
     assert blocks.BLOCK >= n
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requirements_and_keywords_need_no_shuffle(spark):
+    texts = [(i, " ".join(["the", "42", "Pump", "पंप", "٤٢٣", "pump-set", "cable"] * (i + 1) + ["x1"] * i + ["zebra"])) for i in range(30)] + [(98, ""), (99, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = text.keywords_of(docs)
+    want = {}
+    for i, t in texts:
+        words = [w for w in (t or "").lower().split() if len(w) > 2 and w != "the" and not w.isdecimal()]
+        if words:
+            want[i] = sorted(dict.fromkeys(words), key=lambda w: -words.count(w))[:10]
+    found = {r.doc_id: r.keywords for r in got.collect()}
+    assert set(found) == set(want)
+    assert all([w for w in found[i] if w.isascii()] == [w for w in want[i] if w.isascii()] for i in want)
+    full = extract.extract_requirements(docs)
+    assert {r.doc_id: r.requirements.keywords for r in full.collect()} == {i: found.get(i, []) for i, _ in texts}
+    assert "Exchange" not in _plan(got) and "Exchange" not in _plan(full)
