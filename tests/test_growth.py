@@ -103,6 +103,15 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_search_of_amendments_reads_each_history_once(spark):
+    items = ['{"amendment_number": "2", "year": "2019", "title": "Change 6"}', '{"amendment_number": 1, "year": "2021"}', "bare"]
+    rows = spark.createDataFrame([("a", "IS 1", "Active", 2001, items), ("b", "IS 2", "Superseded", None, []), ("c", "IS 3", None, 1999, None)], "id string, is_number string, status string, revision_year int, amendments array<string>")
+    got = versions.search(versions.add_versions(rows), "change 6")
+    assert [(r.id, r.latest_number, r.latest_year) for r in got.collect()] == [("a", 1, 2021)]
+    assert [[tuple(x) for x in r.amendment_history] for r in got.collect()] == [[(1, 2021, "Amendment No. 1"), (2, 2019, "Change 6")]]
+    assert _plan(got).count("from_json") + _plan(got).count("JsonToStructs") <= 1
+
+
 def test_requirements_and_keywords_need_no_shuffle(spark):
     texts = [(i, " ".join(["the", "42", "Pump", "पंप", "٤٢٣", "pump-set", "cable"] * (i + 1) + ["x1"] * i + ["zebra"])) for i in range(30)] + [(98, ""), (99, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
