@@ -127,3 +127,21 @@ def test_requirements_and_keywords_need_no_shuffle(spark):
     full = extract.extract_requirements(docs)
     assert {r.doc_id: r.requirements.keywords for r in full.collect()} == {i: found.get(i, []) for i, _ in texts}
     assert "Exchange" not in _plan(got) and "Exchange" not in _plan(full)
+
+
+def test_few_queries_are_scored_where_documents_lie(spark):
+    words = ["pump", "cable", "slag", "lamp", "pipe"]
+    docs = spark.createDataFrame([(i, [words[j % 5] for j in range(i, i + i % 7)] or None) for i in range(200)] + [(500, [None, "pump"])], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["pump", "pump", "slag"]), (2, ["cable"]), (3, ["nothing"]), (4, [])], "query_id long, tokens array<string>")
+    for idf in ("plus_one", "okapi"):
+        index = lexical.build_index(docs, idf=idf)
+        plain = lexical.LexicalIndex(index.postings, index.stats, index.terms)
+        pairs = lambda df: {(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()}
+        got = lexical.score(index, asked)
+        assert pairs(got) == pairs(lexical.score(plain, asked)) == pairs(lexical.score(plain, asked, most=0)) != {}
+        assert "Exchange" not in _plan(got)
+        every = pairs(lexical.score(index, asked, every=True))
+        assert every == {(q, d.doc_id): pairs_of.get((q, d.doc_id), 0.0) for pairs_of in [pairs(got)] for q in (1, 2, 3, 4) for d in docs.collect()}
+    counts = {(r.doc_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert counts == {(d.doc_id, t): (d.tokens.count(t), len(d.tokens)) for d in docs.collect() for t in d.tokens or [] if t} and "Exchange" not in _plan(index.postings)
+    assert "Exchange" not in _plan(fusion.min_max(lexical.score(index, asked))).replace("BroadcastExchange", "")
