@@ -173,13 +173,14 @@ def _apart(now: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows whose bucket holds another class among the lengths that the similarity allows, more or less; all others have nothing to be compared with. ``now``: ``(band, id, words, class)``.
 
     Lengths fall into bins, ``LENGTHS`` of which are a little wider than the similarity, so texts that are similar lie at most so many bins from each other.
+    A bucket's bins, each with its least and greatest class, are one list, no longer than the logarithm of the longest text; each row looks into it once, and rows of hot buckets stay where they are.
     """
     width = (1e-6 - math.log(similarity)) / LENGTHS
     placed = now.withColumn("bin", F.floor(F.log(F.greatest("words", F.lit(1))) / width).cast("int"))
-    each = placed.groupBy("band", "bin").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    around = each.select("band", F.explode(F.sequence(F.col("bin") - LENGTHS, F.col("bin") + LENGTHS)).alias("bin"), "low", "high")
-    wanted = around.groupBy("band", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("band", "bin")
-    return placed.join(wanted, ["band", "bin"], "left_semi").drop("bin")
+    each = placed.groupBy("band", "bin").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
+    lists = each.groupBy("band").agg(F.collect_list(F.struct("bin", "low", "high")).alias("held"), F.sum("n").alias("n"))
+    other = F.exists("held", lambda h: (F.abs(h["bin"] - F.col("bin")) <= LENGTHS) & ((h["low"] != F.col("class")) | (h["high"] != F.col("class"))))
+    return join_spread(placed, lists, "band").where(other).drop("bin", "held", "n")
 
 
 def compatible(rows: DataFrame, codes: DataFrame, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:

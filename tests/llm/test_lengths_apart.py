@@ -18,3 +18,19 @@ def test_rows_without_a_fitting_length_of_another_class_go(spark):
     assert got - {i for band, i, n, c in rows if any(band == z and i != j and min(n, m) >= 0.8**2.7 * max(n, m) for z, j, m, _ in rows)} == set() and len(got) < len(rows)
     assert not got & {i for band, i, *_ in rows if band == 99}
     assert near >= needed
+
+
+def test_rows_apart_need_no_join_by_length(spark):
+    """Rows of a hot bucket with all lengths stay where they are, and exactly those with another class near their own length are left."""
+    rng = random.Random(5)
+    rows = [(1, i, int(1.2 ** rng.randrange(40)), 0 if i % 50 else i) for i in range(3000)] + [(2 + i // 2, 5000 + i, rng.randrange(20, 40), i % 3) for i in range(3000)]
+    width = (1e-6 - omh.math.log(omh.SIMILARITY)) / omh.LENGTHS
+    place = lambda n: int(omh.math.floor(omh.math.log(max(n, 1)) / width))
+    classes = {}
+    for band, _, n, c in rows:
+        classes.setdefault((band, place(n)), set()).add(c)
+    want = {i for band, i, n, c in rows if any(classes.get((band, place(n) + k), set()) - {c} for k in range(-omh.LENGTHS, omh.LENGTHS + 1))}
+    got = omh._apart(spark.createDataFrame(rows, "band long, id long, words int, class long"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(want) and 0 < len(want) < len(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and got.columns == ["band", "id", "words", "class"]
