@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procmatch.operators import blocks, containment, dense, fusion, hybrid, impact, lexical, network
+from procmatch.plans import pipelines
 
 
 def plan_of(df):
@@ -160,3 +161,56 @@ def test_hub_with_most_edges(spark):
         want |= {(c, x): d for x, d in seen.items()}
     assert got == want
     assert network.neighbourhood(centres, e, 3).agg(F.max("depth")).first()[0] == 2
+
+
+def test_hybrid_takes_blocks_of_queries_together_and_counts_documents_once(spark, monkeypatch):
+    """Documents are dealt once for several blocks of queries, and slices hold few tokens, whatever the number of queries."""
+    rng = random.Random(9)
+    docs, asked = documents(spark, rng, 150).cache(), questions(spark, rng, 30).cache()
+    index = lexical.build_index(docs)
+    plain = lambda df: sorted(tuple(r) for r in fusion.final_top_k(df, 4).collect())
+    want = plain(hybrid.candidates(asked, docs, index, 4))
+    monkeypatch.setattr(blocks, "TOGETHER", 3)
+    got = hybrid.candidates(asked, docs, index, 4, block=5)
+    assert plain(got) == want and len(want) > 60
+    parts = {r["p"] for r in got.select(F.spark_partition_id().alias("p")).collect()}
+    assert len(parts) > 1  # two blocks wide, each a task of its own, though they are few bytes
+
+    def cell(queries):
+        return lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([len(queries)], pa.int32()), pa.array([sum(b.num_rows for b in batches)], pa.int32())], names=["n", "m"])])
+
+    held = blocks.product(asked.select("query_id"), docs.select("doc_id"), cell, "n int, m int", 5).collect()
+    assert sum(r["n"] for r in held) == 30 and all(r["n"] <= 5 and r["m"] == 152 for r in held)
+
+
+def test_slices_hold_few_tokens(monkeypatch):
+    monkeypatch.setattr(hybrid, "TOKENS", 100)
+    lengths = [0, 30, 250, 40, 60, 1, None, 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([None if n is None else ["w"] * n for n in lengths], pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    got = [x.column(0).to_pylist() for x in hybrid.parts([batch], 10)]
+    assert sum(got, []) == list(range(8)) and all(len(x) == 1 or sum(lengths[i] or 0 for i in x) <= 100 for x in got)
+    assert [len(x.column(0)) for x in hybrid.parts([batch], hybrid.SLICE)] == [1] * 8
+
+
+def test_all_documents_alike_and_documents_without_vectors():
+    """Equal scores everywhere, and fewer candidates than k: exactly those with a common term are found."""
+    f64 = pa.list_(pa.float64())
+    table = pa.table({"query_id": [1, 2, 3], "terms": pa.array([["a"], ["z"], ["b"]]), "weights": pa.array([[1.0], [1.0], [2.0]]), "v": pa.array([None, None, [1.0, 0.0]], f64), "b0": [1.0, 0.0, 0.0], "b1": [1.0, 0.0, 2.0], "s0": [0.0, 0.0, 0.0], "s1": [0.0, 0.0, 1.0]})
+    docs = [["a"]] * 40 + [["a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(41)), pa.array(docs, pa.list_(pa.string())), pa.array([[1.0, 0.0] if i in (7, 9) else None for i in range(41)], f64)], names=["doc_id", "tokens", "v"])
+    rows = pa.Table.from_batches(list(hybrid.Fused(5, 0.6, 1.0, 1.5, 0.0)(table)(iter([batch])))).to_pylist()
+    found = {q: sorted(r["doc_id"] for r in rows if r["query_id"] == q) for q in (1, 2, 3)}
+    assert found == {1: [0, 1, 2, 3, 4], 2: [], 3: [7, 9, 40]}
+
+
+def test_words_of_requests_are_not_looked_for_in_what_they_are_joined_from(spark, monkeypatch):
+    """Requests are made by a join; their words are cut once, of requests alone, and nothing is pushed below the join."""
+    left = spark.range(20).withColumnRenamed("id", "query_id")
+    parts = spark.range(5000).selectExpr("id as query_id", "concat('pump number ', id) as query")
+    records = spark.createDataFrame([(f"d{i}", ["pump", str(i)], None) for i in range(30)], "doc_id string, tokens array<string>, embedding array<double>")
+    catalog = pipelines.Catalog(None, lexical.build_index(records), records, None, None, None, None)
+    plans = []
+    own = hybrid.candidates
+    monkeypatch.setattr(hybrid, "candidates", lambda asked, *a, **k: plans.append(asked._jdf.queryExecution().optimizedPlan().toString()) or own(asked, *a, **k))
+    got = pipelines.candidates(left.join(parts, "query_id").withColumnRenamed("query", "keyword_query"), catalog, 3)
+    assert "Join" not in plans[0] and got.select("query_id").distinct().count() == 20
