@@ -36,6 +36,32 @@ def test_graph_without_rows_for_pairs(spark):
     assert _rows(network.incident_of(nodes, declared)) == _rows(network.incident(edges, nodes))
 
 
+def test_neighbourhood_without_edges_of_categories(spark):
+    nodes, declared, edges = _graph(spark)
+    centres = nodes.where("ord % 3 = 1 or ord = 0").select("id")
+    for depth in (1, 3):
+        got = _rows(network.neighbourhood_of(centres, nodes, declared, depth, most=None))
+        plain = {c.id: {c.id: 0} for c in centres.collect()}
+        near = {(u, v) for r in edges.collect() for u, v in ((r.source, r.target), (r.target, r.source))}
+        for reached in plain.values():
+            for d in range(1, depth + 1):
+                reached.update({v: d for u, v in near if u in reached and v not in reached})
+        assert got == sorted(((c, i, d) for c, reached in plain.items() for i, d in reached.items()), key=str) == _rows(network.neighbourhood(centres, edges, depth, most=None))
+    # Nodes that share their place have no edge of their own: one step more, by the third.
+    same = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("c", "x", 2), ("d", None, 3), ("e", "y", 4)], "id string, product_category string, ord long")
+    none = spark.createDataFrame([], "source string, target string")
+    assert _rows(network.neighbourhood_of(same.where("id in ('a', 'd', 'e')"), same, none, 2)) == [("a", "a", 0), ("a", "b", 2), ("a", "c", 1), ("d", "d", 0), ("e", "e", 0)]
+
+
+def test_more_centres_than_a_block_holds(spark):
+    nodes = spark.range(2500).selectExpr("concat('P-', id) as id", "concat('c', id div 5) as product_category", "id as ord")
+    declared = spark.range(2499).selectExpr("concat('P-', id) as source", "concat('P-', id + 1) as target")
+    got = network.neighbourhood_of(nodes, nodes, declared, 1)
+    # In its category each node meets four others, and at its category's borders one of the next.
+    assert got.count() == got.distinct().count() == 2500 * 5 + 2 * 499
+    assert got.groupBy("centre").agg(F.count("*").alias("n")).where("n not between 5 and 6").count() == 0
+
+
 def test_neighbours_of_wanted_documents_only(spark):
     nodes, declared, edges = _graph(spark)
     c = pipelines.Catalog(None, None, None, None, nodes, edges, None, declared)
