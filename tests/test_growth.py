@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procmatch import queries
 from procmatch.functions import extract, text
-from procmatch.operators import blocks, containment, fusion, hybrid, lexical, network, versions
+from procmatch.operators import blocks, containment, fusion, hybrid, lexical, network, report, versions
 from procmatch.plans import pipelines
 
 
@@ -171,3 +171,12 @@ def test_few_queries_are_scored_where_documents_lie(spark):
     counts = {(r.doc_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
     assert counts == {(d.doc_id, t): (d.tokens.count(t), len(d.tokens)) for d in docs.collect() for t in d.tokens or [] if t} and "Exchange" not in _plan(index.postings)
     assert "Exchange" not in _plan(fusion.min_max(lexical.score(index, asked))).replace("BroadcastExchange", "")
+
+
+def test_links_each_once_without_comparing_all(spark):
+    item = lambda i, way=0: (way, f"P-{i}", None if i % 2 else "x")
+    hits = [(1, 2, [item(3), item(1), item(4, 1)]), (1, 1, [item(5), item(3)]), (1, 3, [item(1), item(1, 1), item(5)]), (2, 1, []), (3, 1, [item(7)])]
+    ranked = spark.createDataFrame(hits, "query_id long, rank int, neighbours array<struct<way: int, standard_id: string, title: string>>")
+    got = report.network_links(ranked)
+    assert {r.query_id: [tuple(x) for x in r.network_information] for r in got.collect()} == {1: [item(5), item(3), item(1), item(4, 1), item(1, 1)], 2: [], 3: [item(7)]}
+    assert "array_distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
