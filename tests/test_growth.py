@@ -5,9 +5,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from procmatch import queries
+from procmatch import catalog_queries, queries
 from procmatch.functions import extract, text
-from procmatch.operators import blocks, containment, fusion, hybrid, lexical, network, report, versions
+from procmatch.operators import blocks, containment, evaluate, fusion, hybrid, impact, lexical, network, report, versions
 from procmatch.plans import pipelines
 
 
@@ -180,3 +180,54 @@ def test_links_each_once_without_comparing_all(spark):
     got = report.network_links(ranked)
     assert {r.query_id: [tuple(x) for x in r.network_information] for r in got.collect()} == {1: [item(5), item(3), item(1), item(4, 1), item(1, 1)], 2: [], 3: [item(7)]}
     assert "array_distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_by_words_for_many_queries(spark):
+    words = ["pump", "cable", "slag", "lamp", "pipe"]
+    docs = spark.createDataFrame([(i, [words[j % 5] for j in range(i, i + i % 7)] or None, None) for i in range(200)], "doc_id long, tokens array<string>, embedding array<double>")
+    asked = spark.createDataFrame([(q, [words[q % 5], words[(q * 3 + 1) % 5], "none"] if q % 4 else []) for q in range(60)], "query_id long, tokens array<string>")
+    index = lexical.build_index(docs)
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in df.collect())
+    want = rows(impact.search(impact.build(index), asked, 7))
+    assert want and rows(hybrid.by_words(asked, docs, index, 7)) == want == rows(hybrid.by_words(asked, docs, index, 7, block=8))
+
+
+def test_systems_are_fused_once_and_need_no_links(spark, monkeypatch):
+    nodes, _, _ = _graph(spark)
+    empty = F.array().cast("array<string>")
+    records = nodes.withColumns({"scope": F.concat(F.lit("covers "), "title"), "sector": F.lit("s"), "keywords": empty, "related_standards": empty, "description": F.lit(None).cast("string")})
+    v = nodes.select(F.col("id").alias("doc_id"), F.array(F.col("ord") * 1.0, F.lit(1.0)).alias("embedding"))
+    catalog = pipelines.Catalog.build(records, None, v, linked=False)
+    assert catalog.edges is None
+    asked = spark.createDataFrame([(i, f"covers t{i} t{i + 1}", [float(i), 1.0]) for i in (3, 8, 20)], "query_id long, query string, embedding array<double>")
+    fused, calls = pipelines.candidates, []
+    monkeypatch.setattr(pipelines, "candidates", lambda *a, **k: calls.append(1) or fused(*a, **k))
+    got = pipelines.systems(asked, catalog, fusion.overlap_scorer, 4)
+    assert {(r.system, r.query_id): r["count"] for r in got.groupBy("system", "query_id").count().collect()} == {(s, q): 4 for s in ("bm25", "dense", "hybrid", "reranked") for q in (3, 8, 20)}
+    assert len(calls) == 1
+
+
+def test_ideal_gains_without_sorting_judgements(spark):
+    good = [(q, d, 1 + d % 3 % 2) for q in range(3) for d in range(q, 9)]
+    rels = spark.createDataFrame(good, "query_id int, doc_id int, rel int")
+    ranked = spark.createDataFrame([("a", q, (d * 4 + q) % 9, d + 1) for q in range(3) for d in range(9)], "system string, query_id int, doc_id int, rank int")
+    got = evaluate.per_query(ranked, rels, rels.select("query_id").distinct())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rel#" in plan and "doc_id" not in plan[plan.index("Window") :].split("\n")[0]
+    grade = {(q, d): r for q, d, r in good}
+    for row in got.collect():
+        hits = [grade.get((row.query_id, (d * 4 + row.query_id) % 9), 0) for d in range(9)]
+        best = sorted((r for (q, _), r in grade.items() if q == row.query_id), reverse=True)
+        dcg = lambda rs: sum((2**r - 1) / np.log2(i + 2) for i, r in enumerate(rs))
+        assert np.isclose(row.ndcg_at_3, dcg(hits[:3]) / dcg(best[:3])) and np.isclose(row.ndcg_at_5, dcg(hits[:5]) / dcg(best[:5]))
+        assert np.isclose(row.r_at_5, sum(r > 0 for r in hits[:5]) / len(best))
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Small as they are here, neither keys of records nor neighbours' lists go through the driver."""
+    nodes, declared, edges = _graph(spark)
+    refs = spark.createDataFrame([("P-1", "IS 4"), ("P-2", "Standard IS 13 x")], "source string, ref string")
+    catalog = pipelines.Catalog(None, None, None, None, nodes, edges, None, declared)
+    hits = spark.createDataFrame([("P-1", 1), ("P-8", 2)], "doc_id string, rank int")
+    for df in (network.resolve(refs, nodes), network._with_excluded(nodes, declared, "product_category"), catalog.with_neighbours(hits, hits.select("doc_id"))):
+        assert all("[_g#" in line for line in _plan(df).splitlines() if "BroadcastHashJoin" in line)  # grams of strings wanted are sized as they are
