@@ -231,3 +231,15 @@ def test_growing_tables_are_not_broadcast(spark):
     hits = spark.createDataFrame([("P-1", 1), ("P-8", 2)], "doc_id string, rank int")
     for df in (network.resolve(refs, nodes), network._with_excluded(nodes, declared, "product_category"), catalog.with_neighbours(hits, hits.select("doc_id"))):
         assert all("[_g#" in line for line in _plan(df).splitlines() if "BroadcastHashJoin" in line)  # grams of strings wanted are sized as they are
+
+
+def test_few_cells_are_worked_out_for_larger_k():
+    near = np.random.default_rng(5).random((50, 240)).astype(np.float32)
+    none = np.full(50, -np.inf)
+    q, d = blocks.promising(near, 24, none, 0.0, none)
+    found = set(zip(q.tolist(), d.tolist(), strict=True))
+    assert len(q) < near.size / 3 and all((r, c) in found for r in range(50) for c in np.argsort(-near[r])[:24])
+    best = blocks.Best(2, 3, ["doc_id"])
+    for x in range(40):
+        best.add(np.array([0, 1]), np.array([x % 7 / 7, x % 5 / 5]), {"doc_id": pa.array([x, x])})
+    assert best.rows.select(["_q", "doc_id"]).to_pylist() == [{"_q": q, "doc_id": d} for q, ds in ((0, (6, 13, 20)), (1, (4, 9, 14))) for d in ds]
