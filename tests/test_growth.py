@@ -243,3 +243,18 @@ def test_few_cells_are_worked_out_for_larger_k():
     for x in range(40):
         best.add(np.array([0, 1]), np.array([x % 7 / 7, x % 5 / 5]), {"doc_id": pa.array([x, x])})
     assert best.rows.select(["_q", "doc_id"]).to_pylist() == [{"_q": q, "doc_id": d} for q, ds in ((0, (6, 13, 20)), (1, (4, 9, 14))) for d in ds]
+
+
+def test_induced_edges_without_edges_of_categories(spark):
+    nodes, declared, edges = _graph(spark)
+    centres = nodes.where("ord % 3 = 1 or ord in (0, 7, 8, 9)").select("id")
+    want = network.induced_edges(network.neighbourhood(centres, edges, 1), edges)
+    columns = ["centre", *edges.columns]
+    assert _rows(network.induced_of(centres, nodes, declared).select(columns)) == _rows(want.select(columns)) != []
+    # Some of a category share their place: these have no edge of their own, and declared edges reach into other categories.
+    rows = [("a", 1, "x"), ("b", 1, "x"), ("c", 2, "x"), ("d", 3, None), ("e", 4, "y"), ("f", 5, "y"), ("g", 6, "y"), ("h", None, "y")]
+    same = spark.createDataFrame([(i, o, c) for i, o, c in rows], "id string, ord long, product_category string")
+    said = network._labelled(spark.createDataFrame([("a", "e"), ("a", "f"), ("b", "d"), ("d", "a"), ("g", "e"), ("h", "b"), ("e", "c"), ("c", "d")], "source string, target string"), "RELATED_STANDARD")
+    every = said.unionByName(network.inferred_edges(same, said))
+    want = network.induced_edges(network.neighbourhood(same.select("id"), every, 1), every)
+    assert _rows(network.induced_of(same.select("id"), same, said).select(columns)) == _rows(want.select(columns))
