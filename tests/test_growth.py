@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from procmatch import catalog_queries, queries
@@ -258,3 +259,8 @@ def test_induced_edges_without_edges_of_categories(spark):
     every = said.unionByName(network.inferred_edges(same, said))
     want = network.induced_edges(network.neighbourhood(same.select("id"), every, 1), every)
     assert _rows(network.induced_of(same.select("id"), same, said).select(columns)) == _rows(want.select(columns))
+
+
+def test_references_are_worked_out_once(spark):
+    plan = queries.resolved(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan
